@@ -1,0 +1,210 @@
+"""Surrogates for personal data: keyed, type-consistent replacements that keep format, script and gender marks.
+
+Each kind of entity has slots (digits, vowels, consonants, ideographs) that vary and a skeleton that stays (separators,
+case, length, domain of a mail provider, first digit of a card, last letter of a name word, the honorific before it).
+The slots of an entity are one number below the product of their radices, and a keyed permutation without fixed points
+moves it. So the same entity always has the same surrogate (coreference over the whole corpus, without a join), two
+entities never share one (distinctness), and none stays itself. Collision checks hold each document to that, and
+collisions() holds a whole corpus to it.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import hmac
+from collections.abc import Iterator
+from functools import lru_cache
+from math import isqrt
+
+import pyarrow as pa
+import regex
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import columns
+
+#: Key of the surrogates; production passes its own.
+KEY = b"surrogate key 1"
+ROUNDS = 6
+KINDS = ("email", "ipv4", "iban", "phone", "ssn", "number", "name")
+HONORIFICS = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Mme Mlle Señor Señora Señorita Sr Sra Srta Don Doña Господин Госпожа".split()
+_DETECT = regex.compile(
+    r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
+    r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?!\w))"
+    r"|(?<![\w.])(?P<ipv4>(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?!\w|\.\d)"
+    r"|(?<![\w+])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
+    r"|(?<![\w+])(?P<phone>\+\d{1,3}[\x20.-]?(?:\(\d{1,4}\)[\x20.-]?)?\d{2,4}(?:[\x20.-]?\d{2,4}){1,4}|\(\d{2,4}\)\x20?\d{3,4}[\x20.-]?\d{4}|\d{3}[\x20.-]\d{3}[\x20.-]\d{4})(?!\w)"
+    r"|(?<![\w.])(?P<number>\d(?:[\x20-]?\d){12,18})(?!\w)"
+    rf"|(?<!\w)(?:{'|'.join(HONORIFICS)})\.?\x20(?P<name>\p{{Lu}}[\p{{L}}'’-]+(?:\x20\p{{Lu}}[\p{{L}}'’-]+){{0,2}})"
+)
+_HINT = regex.compile(rf"[0-9@]|(?<!\w)(?:{'|'.join(HONORIFICS)})\.?\x20\p{{Lu}}")
+#: Domains that many people share, so they stay.
+SHARED_DOMAINS = ("gmail.com", "yahoo.com", "outlook.com", "hotmail.com", "icloud.com", "example.com", "example.org", "example.net")
+#: Letters that take each other's places, by script; the first string of a pair holds the vowels.
+_SCRIPTS = (("aeiou", "bcdfghjklmnpqrstvwxyz"), ("аеиоуыэюя", "бвгджзклмнпрстфхцчшщ"), ("αεηιουω", "βγδζθκλμνξπρστφχψ"))
+#: Scripts without case, by their ranges.
+_RANGES = ((0x4E00, 0x9FA5), (0x3041, 0x3093), (0x30A1, 0x30F3), (0xAC00, 0xD7A3), (0x0628, 0x063A), (0x05D0, 0x05EA))
+
+
+def _classes() -> dict[str, str]:
+    out = {}
+    for vowels, consonants in _SCRIPTS:
+        for group in (vowels, consonants):
+            for letters in (group, group.upper()):
+                out.update(dict.fromkeys(letters, letters))
+    return out | dict.fromkeys("0123456789", "0123456789")
+
+
+_CLASS = _classes()
+
+
+def _slot(c: str) -> str | tuple[int, int] | None:
+    """What c can be replaced by: a string of letters, a range of code points, or None."""
+    if c in _CLASS:
+        return _CLASS[c]
+    return next((r for r in _RANGES if r[0] <= ord(c) <= r[1]), None)
+
+
+class Permutation:
+    """A keyed permutation of range(n) without fixed points: x -> p'(p(x) + step), p a Feistel network with cycle walks."""
+
+    def __init__(self, key: bytes, n: int) -> None:
+        self.key, self.n = key, n
+        self.a = isqrt(n - 1) + 1
+        self.b = -(-n // self.a)
+        self.step = self._f(99, n) % (n - 1) + 1 if n > 1 else 0
+
+    def _f(self, i: int, x: int) -> int:
+        return int.from_bytes(hmac.digest(self.key, b"%d %d %d" % (self.n, i, x), "sha256")[:16], "big")
+
+    def _walk(self, x: int, back: bool) -> int:
+        while True:
+            left, right = divmod(x, self.b)
+            for i in range(ROUNDS - 1, -1, -1) if back else range(ROUNDS):
+                sign = -1 if back else 1
+                if i % 2:
+                    right = (right + sign * self._f(i, left)) % self.b
+                else:
+                    left = (left + sign * self._f(i, right)) % self.a
+            x = left * self.b + right
+            if x < self.n:
+                return x
+
+    def __call__(self, x: int) -> int:
+        return self._walk((self._walk(x, False) + self.step) % self.n, True) if self.n > 1 else x
+
+
+def _moved(key: bytes, text: str, fixed: set[int]) -> str:
+    """text with the characters of its slots, but those at fixed places, moved by the keyed permutation."""
+    slots = [(i, s) for i, c in enumerate(text) if i not in fixed and (s := _slot(c)) is not None]
+    n, x = 1, 0
+    for i, s in slots:
+        size = len(s) if isinstance(s, str) else s[1] - s[0] + 1
+        x = x * size + (s.index(text[i]) if isinstance(s, str) else ord(text[i]) - s[0])
+        n *= size
+    skeleton = list(text)
+    for i, _ in slots:
+        skeleton[i] = "\0"
+    if n < 2:
+        return text
+    kinds = b"".join(s.encode() if isinstance(s, str) else b"%d-%d" % s for _, s in slots)
+    y = Permutation(hashlib.sha256(key + "".join(skeleton).encode() + b"|" + kinds).digest(), n)(x)
+    for i, s in reversed(slots):
+        size = len(s) if isinstance(s, str) else s[1] - s[0] + 1
+        y, d = divmod(y, size)
+        skeleton[i] = s[d] if isinstance(s, str) else chr(s[0] + d)
+    return "".join(skeleton)
+
+
+def _luhn(digits: str) -> int:
+    """The check digit after digits."""
+    return -sum(sum(divmod(2 * int(d), 10)) if i % 2 == 0 else int(d) for i, d in enumerate(reversed(digits))) % 10
+
+
+@lru_cache(1 << 16)
+def surrogate(key: bytes, kind: str, text: str) -> str:
+    """The surrogate of an entity; it depends on nothing but the key, the kind and the entity."""
+    key = key + kind.encode()
+    if kind == "ipv4":  # four octets as one number, private first octets among themselves
+        octets = [int(x) for x in text.split(".")]
+        if octets[0] in (0, 10, 127, 192, 172) or octets[0] > 223:
+            y = Permutation(key + b"%d" % octets[0], 1 << 24)((octets[1] << 16) + (octets[2] << 8) + octets[3])
+            return f"{octets[0]}.{y >> 16}.{y >> 8 & 255}.{y & 255}"
+        open_ = [i for i in range(1, 224) if i not in (10, 127, 172, 192)]
+        x = (open_.index(octets[0]) << 24) + (octets[1] << 16) + (octets[2] << 8) + octets[3]
+        y = Permutation(key, len(open_) << 24)(x)
+        return f"{open_[y >> 24]}.{y >> 16 & 255}.{y >> 8 & 255}.{y & 255}"
+    if kind == "email":
+        local, _, domain = text.rpartition("@")
+        keep = any(domain.lower() == d or domain.lower().endswith("." + d) for d in SHARED_DOMAINS)
+        first = len(text) if keep else len(text) - len(domain) + domain.rindex(".")
+        return _moved(key, text, set(range(len(local) if keep else first, len(text))))
+    digits = [i for i, c in enumerate(text) if c.isdigit()]
+    if kind == "number":  # the first digit (a card's network) and the distance from the right check digit stay
+        plain = "".join(text[i] for i in digits)
+        off = (int(plain[-1]) - _luhn(plain[:-1])) % 10
+        out = _moved(key, text, {digits[0], digits[-1]})
+        check = (_luhn("".join(out[i] for i in digits[:-1])) + off) % 10
+        return out[: digits[-1]] + str(check) + out[digits[-1] + 1 :]
+    if kind == "phone":  # the country code stays
+        m = regex.match(r"\+\d{1,3}(?=[\x20.(-])|\+\d", text)
+        return _moved(key, text, set(range(m.end() if m else 0)))
+    if kind == "iban":
+        return _moved(key, text, {0, 1})
+    if kind == "name":  # the last letter of each word marks gender in many languages
+        ends = {i for i, c in enumerate(text) if i + 1 == len(text) or text[i + 1] in " -"}
+        out = _moved(key, text, ends)
+        return out if out != text else _moved(key, text, set())
+    return _moved(key, text, set())
+
+
+def entities(text: str) -> list[tuple[str, int, int]]:
+    """(kind, start, stop) of the entities of a text, leftmost first and not overlapping."""
+    if not _HINT.search(text):
+        return []
+    return [(m.lastgroup, *m.span(m.lastgroup)) for m in _DETECT.finditer(text)]
+
+
+def replaced(text: str, key: bytes = KEY) -> tuple[str, list[tuple[str, int, int]], list[str]]:
+    """(text with surrogates, the entities with their places in the given text, their surrogates)."""
+    found = entities(text)
+    out, at, made = [], 0, []
+    for kind, a, b in found:
+        made.append(surrogate(key, kind, text[a:b]))
+        out += [text[at:a], made[-1]]
+        at = b
+    names = {(k, text[a:b]): s for (k, a, b), s in zip(found, made, strict=True)}
+    if len({(k, s) for (k, _), s in names.items()}) < len(names):
+        raise ValueError("two entities of a document have one surrogate")
+    return "".join([*out, text[at:]]), found, made
+
+
+def _surrogates(key: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("entity", pa.string()), ("surrogate", pa.string())]))
+        for batch in batches:
+            texts, found = [], []
+            for t in batch.column("text").to_pylist():
+                new, spans, made = replaced(t, key) if t else (t, [], [])
+                texts.append(new)
+                found.append([{"kind": k, "start": a, "stop": b, "entity": t[a:b], "surrogate": s} for (k, a, b), s in zip(spans, made, strict=True)])
+            yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(found, kind)], names=["doc_id", "text", "found"])
+
+    return run
+
+
+def with_surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+    """(doc_id, text, found) of every row of docs (doc_id, text): the text with surrogates, and what was replaced.
+
+    found: array<struct<kind, start, stop, entity, surrogate>>, places by code points of the given text. A null text
+    stays null and an empty one empty, with nothing found; null ids pass; repeated rows each come back (and alike); an
+    empty table gives an empty one; extra columns are ignored.
+    """
+    schema = "doc_id long, text string, found array<struct<kind:string,start:int,stop:int,entity:string,surrogate:string>>"
+    return columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(_surrogates(key), schema)
+
+
+def collisions(found: DataFrame) -> DataFrame:
+    """(kind, surrogate, entities) that two or more entities of with_surrogates' rows share: none, if all is right."""
+    pairs = found.select(F.explode("found").alias("x")).select("x.kind", "x.surrogate", "x.entity").distinct()
+    return pairs.groupBy("kind", "surrogate").agg(F.count("*").alias("entities")).where("entities > 1")
