@@ -1,4 +1,5 @@
 """All registered queries of the raster engine, with their oracle SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans.queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
