@@ -210,7 +210,7 @@ def _predictor(net: dict):
                     mean, labelled = pooled(net, some)
                 span = slice(begin, begin + len(some))
                 best[span] = mean.argmax(axis=1)
-                score[span] = np.minimum(1.0, mean.max(axis=1))
+                score[span] = np.minimum(1.0, mean.max(axis=1)).round(6)  # equal texts score alike wherever in a batch they stand
                 agree[span] = labelled[np.arange(len(some)), best[span]]
             letters = [bool(_LETTER.search(t)) if t else False for t in batch.column("text").to_pylist()]
             lang = [net["langs"][i] if on else UNKNOWN for i, on in zip(best.tolist(), letters, strict=True)]
