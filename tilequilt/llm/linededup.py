@@ -24,6 +24,8 @@ from .common import chunks, columns, staged, text_bytes
 MIN_WORDS = 5
 #: Survivor lines up to this number (40 bytes each) are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: A line with more than this share of all lines is hot; there are fewer than 1 / HOT_SHARE of them, so they are broadcast.
+HOT_SHARE = 0.001
 
 _M = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -208,8 +210,12 @@ def line_report(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "pos")
     firsts = staged(lines.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("times"), F.first("halves").alias("halves")))
     near = near_lines(firsts.select("line", "first", "halves"), docs).withColumn("near", F.lit(True))
-    marked = firsts.join(near, "line", "left").select("line", "first", "times", F.coalesce("near", F.lit(False)).alias("near")).where("times > 1 OR near")
-    removed = lines.join(marked, "line").where(F.col("near") | (place != F.col("first"))).select("doc_id", "text_hash", "pos", "near")
+    marked = staged(firsts.join(near, "line", "left").select("line", "first", "times", F.coalesce("near", F.lit(False)).alias("near")).where("times > 1 OR near"))
+    # Rows of hot lines meet their marks by broadcast, without a shuffle; the others by a join on the line.
+    hot = F.col("times") > HOT_SHARE * lines.count()
+    often, seldom = F.broadcast(marked.where(hot)), marked.where(~hot)
+    met = lines.join(often, "line").unionByName(lines.join(F.broadcast(marked.where(hot).select("line")), "line", "left_anti").join(seldom, "line"))
+    removed = met.where(F.col("near") | (place != F.col("first"))).select("doc_id", "text_hash", "pos", "near")
     return lines, removed.distinct()
 
 
