@@ -150,3 +150,103 @@ def test_stream_rates(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r["fps"] for r in spark.sql("SELECT fps FROM rates ORDER BY ts").collect()] == [0, 10, 0, 10]
+
+
+def test_image_preparation():
+    from tilequilt.operators import inference as I
+
+    image = np.arange(12, dtype=np.uint8).reshape(3, 4, 1)
+    assert (I.resized(image, 4, 3) == image).all()
+    wide = I.resized(image, 8, 3)[0, :, 0]
+    assert wide.tolist() == [0, 0, 1, 1, 2, 2, 3, 3]  # halves truncate, the edge is repeated
+    tensor, fit = I.prepared(image, 8, 114)
+    assert tensor.shape == (1, 3, 8, 8) and (fit.new_w, fit.new_h, fit.pad_x, fit.pad_y) == (8, 6, 0, 1)
+    assert np.allclose(tensor[0, :, 0], 114 / 255) and np.allclose(tensor[0, :, 1, 7], 3 / 255)
+    assert np.allclose(I.prepared(image, 8, 0, normalise=True)[0][0, 0, 0, 0], -0.485 / 0.229)
+    assert I.as_rgb(np.zeros((2, 2, 4))).shape == (2, 2, 3)
+
+
+def test_tile_suppression_against_brute_force():
+    from tilequilt.operators import inference as I
+
+    rng = np.random.default_rng(1)
+    boxes = np.concatenate([rng.integers(0, 40, (80, 2)), rng.integers(5, 30, (80, 2))], axis=1).astype(float)
+    classes, scores = rng.integers(0, 2, 80), rng.integers(0, 20, 80) / 20
+    kept = []
+    for i in sorted(range(80), key=lambda i: (-scores[i], i)):
+        def over(j, i=i):
+            w, h = (min(boxes[i][k] + boxes[i][k + 2], boxes[j][k] + boxes[j][k + 2]) - max(boxes[i][k], boxes[j][k]) for k in (0, 1))
+            inter = w * h if w > 0 and h > 0 else 0
+            return classes[i] == classes[j] and inter / (boxes[i][2] * boxes[i][3] + boxes[j][2] * boxes[j][3] - inter) > 0.45
+        if not any(over(j) for j in kept):
+            kept.append(i)
+    assert I.tile_suppressed(boxes, classes, scores).tolist() == kept
+
+
+def test_decoders():
+    from tilequilt.operators import inference as I
+
+    fit = I.Fit.of(320, 160, 640)  # scale 2, 160 pixels above
+    out = np.zeros((1, 84, 4), np.float32)
+    out[0, :4, 0], out[0, 4 + 7, 0] = (100, 260, 40, 20), 0.9
+    out[0, :4, 1], out[0, 4 + 7, 1] = (102, 260, 40, 20), 0.8  # suppressed
+    out[0, :4, 2], out[0, 4 + 3, 2] = (100, 10, 40, 20), 0.8  # wholly above the tile
+    boxes, classes, scores, _ = I.decode_upright(out, fit, 0.5, 640)
+    assert boxes.tolist() == [[40, 45, 20, 10]] and classes.tolist() == [7] and scores.tolist() == [pytest.approx(0.9)]
+    turned = np.zeros((1, 20, 1), np.float32)
+    turned[0, :4, 0], turned[0, 4 + 2, 0], turned[0, 19, 0] = (100, 260, 40, 20), 0.7, np.pi / 2
+    boxes, classes, _, _ = I.decode_rotated(turned, fit, 0.5, 640)
+    assert np.allclose(boxes, [[45, 40, 10, 20]], atol=1e-4) and classes.tolist() == [2]
+    logits = np.zeros((1, 8, 8, 8), np.float32)
+    logits[0, 1] = 5
+    logits[0, 4, 0:2, 0:2] = 9
+    logits[0, 0, 5:7, 5:7] = 9  # an excluded class
+    logits[0, 6, 0, 4] = 9  # one vote only
+    boxes, classes, scores, rings = I.decode_cells(logits, I.Fit.of(64, 64, 512), 0.5, 512)
+    assert boxes.tolist() == [[0, 0, 16, 16]] and classes.tolist() == [4] and len(rings[0]) == 8 and scores[0] > 0.97
+    with pytest.raises(ValueError, match="shape"):
+        I.decode_cells(logits[:, :7], fit, 0.5, 512)
+
+
+def test_model_over_tiles(spark):
+    from tilequilt.operators import inference as I
+
+    def make():
+        import numpy as np
+
+        def model(tensor):
+            out = np.zeros((1, 84, 2), np.float32)
+            out[0, :4, 0], out[0, 9, 0] = (320, 320, 64, 32), tensor[0, 0, 320, 320]
+            return out
+
+        return model
+
+    rows = [(1, 64, 64, 1, bytes([255]) * 4096), (2, 64, 64, 1, bytes(4096)), (3, 64, 64, 1, None), (4, 64, 64, 3, bytes(5))]
+    tiles = spark.createDataFrame(rows, "tile_index int, width int, height int, band_count int, pixels binary")
+    got = I.detections(tiles, "onnx", make, 0.3, ["tile_index"]).collect()
+    assert [(r["tile_index"], r["class_id"], r["x"], r["w"], r["polygon"]) for r in got] == [(1, 5, pytest.approx(28.8), pytest.approx(6.4), [])]
+    assert I.detections(tiles.limit(0), "onnx", make, 0.3, ["tile_index"]).count() == 0
+    with pytest.raises(ValueError, match="not registered"):
+        I.detections(tiles, "other", make, 0.3, ["tile_index"])
+
+
+def test_sinks(spark, tmp_path):
+    import socket
+
+    from tilequilt.streaming import sinks
+    from tilequilt.streaming import telemetry as T
+
+    (tmp_path / "in").mkdir()
+    line = {"session_id": 1, "state": "TILING", "cpu_percent": 12.25, "ram_used_mb": 1, "ram_total_mb": 2, "fps": -0.04, "tiles_done": 3, "tiles_total": 4, "queue_size": 0}
+    (tmp_path / "in/a.json").write_text(json.dumps(line))
+    with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as ear:
+        ear.bind(("127.0.0.1", 0))
+        ear.settimeout(20)
+        q = sinks.send(T.read_folder(spark, str(tmp_path / "in")), sinks.Datagrams("127.0.0.1", ear.getsockname()[1]), str(tmp_path / "cp"))
+        q.processAllAvailable()
+        q.stop()
+        assert ear.recv(4096).decode() == '{"session_id":1,"state":"TILING","cpu_percent":12.3,"ram_used_mb":1,"ram_total_mb":2,"fps":0.0,"tiles_done":3,"tiles_total":4,"queue_size":0}'
+    post = sinks.Posts("http://127.0.0.1:9/none", 0.2)
+    post.open(0, 0)
+    post.process({"document": "{}"})  # nobody listens: a warning, no error
+    post.close(None)

@@ -25,9 +25,16 @@ def latest(rows: DataFrame, key: str, order: list[str], *values: str) -> DataFra
     return rows.groupBy(key).agg(row).select(key, *(F.col(f"__row.{v}").alias(v) for v in values))
 
 
+def one_decimal(x: Column) -> Column:
+    """x as text with one decimal; halves go away from zero."""
+    tenths = F.floor(F.abs(x.cast("double")) * 10 + 0.5)
+    sign = F.when((x < 0) & (tenths > 0), "-").otherwise("")
+    return F.concat(sign, F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def metrics_document() -> Column:
     """Metrics JSON in a fixed order of keys, with one decimal for cpu_percent and fps."""
-    one = {c: F.format_string("%.1f", F.col(c).cast("double")) for c in ("cpu_percent", "fps")}
+    one = {c: one_decimal(F.col(c)) for c in ("cpu_percent", "fps")}
     parts = []
     for c in ("session_id", "state", "cpu_percent", "ram_used_mb", "ram_total_mb", "fps", "tiles_done", "tiles_total", "queue_size"):
         value = F.concat(F.lit('"'), F.col("state"), F.lit('"')) if c == "state" else one.get(c, F.col(c).cast("string"))
@@ -57,3 +64,13 @@ def run_summary(rows: DataFrame, run: str, status: str) -> DataFrame:
     """One row: runs, distinct detection counts, whether all ended well, and PASS or WARN."""
     per_run = rows.groupBy(run).agg(F.count("*").alias("n"), F.bool_and(F.col(status) == "DONE").alias("done"))
     return per_run.agg(F.count("*").alias("runs"), F.countDistinct("n").alias("distinct_counts"), F.bool_and("done").alias("all_done")).withColumn("verdict", F.when((F.col("distinct_counts") == 1) & F.col("all_done"), "PASS").otherwise("WARN"))
+
+
+def report_line(*fields: tuple[Column, int]) -> Column:
+    """A line of a fixed-width report: each value padded to its width, longer ones whole."""
+
+    def cell(value: Column, width: int) -> Column:
+        text = value.cast("string")
+        return F.when(F.length(text) >= width, text).otherwise(F.rpad(text, width, " "))
+
+    return F.concat_ws(" ", *(cell(v, w) for v, w in fields))

@@ -424,11 +424,13 @@ def latest_metric(spark, sf_dir):
     return telemetry.latest(metrics(spark, sf_dir), "session_id", ["ts", "event_id"], "event_id", "state", "tiles_done")
 
 
-@query(f"""WITH {_TELE} SELECT event_id, '{{"session_id":' || session_id || ',"state":"' || state || '","cpu_percent":' || printf('%.1f', cpu_percent) || ',"ram_used_mb":512,"ram_total_mb":2048,"fps":0.0,"tiles_done":' || tiles_done || ',"tiles_total":100,"queue_size":0}}' AS js FROM tele WHERE cpu_percent * 20 % 1 <> 0""")
+_TENTHS = "CAST(floor(abs(cpu_percent) * 10 + 0.5) AS BIGINT)"
+_ONE_DECIMAL = f"(CASE WHEN cpu_percent < 0 AND {_TENTHS} > 0 THEN '-' ELSE '' END || ({_TENTHS} // 10) || '.' || ({_TENTHS} % 10))"
+
+
+@query(f"""WITH {_TELE} SELECT event_id, '{{"session_id":' || session_id || ',"state":"' || state || '","cpu_percent":' || {_ONE_DECIMAL} || ',"ram_used_mb":512,"ram_total_mb":2048,"fps":0.0,"tiles_done":' || tiles_done || ',"tiles_total":100,"queue_size":0}}' AS js FROM tele""")
 def metrics_json(spark, sf_dir):
-    """Metrics documents; values halfway between two decimals are left out, as engines round them differently."""
-    rows = metrics(spark, sf_dir).where("cpu_percent * 20 % 1 <> 0")
-    rows = rows.withColumns({"ram_used_mb": F.lit(512), "ram_total_mb": F.lit(2048), "fps": F.lit(0.0), "tiles_total": F.lit(100), "queue_size": F.lit(0)})
+    rows = metrics(spark, sf_dir).withColumns({"ram_used_mb": F.lit(512), "ram_total_mb": F.lit(2048), "fps": F.lit(0.0), "tiles_total": F.lit(100), "queue_size": F.lit(0)})
     return rows.select("event_id", telemetry.metrics_document().alias("js"))
 
 
@@ -458,3 +460,8 @@ def features_by_class(spark, sf_dir):
     g = boxes(spark, sf_dir).groupBy("session_id", "class_id").agg(F.collect_list("det_id").alias("all"))
     return g.select("session_id", "class_id", F.size("all").cast("long").alias("n"), F.aggregate("all", F.lit(0).cast("long"), lambda a, x: a + x).alias("ids"))
 
+
+@query(f"WITH {DET}, r AS (SELECT session_id, count(*) AS n FROM det GROUP BY 1) SELECT session_id, rpad(session_id::VARCHAR, greatest(6, length(session_id::VARCHAR))::INTEGER, ' ') || ' ' || rpad(n::VARCHAR, greatest(12, length(n::VARCHAR))::INTEGER, ' ') || ' DONE' AS line FROM r")
+def report_lines(spark, sf_dir):
+    n = boxes(spark, sf_dir).groupBy("session_id").agg(F.count("*").alias("n"))
+    return n.select("session_id", telemetry.report_line((F.col("session_id"), 6), (F.col("n"), 12), (F.lit("DONE"), 0)).alias("line"))
