@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tilequilt.llm import ann, bpe, components, langid, linededup, media, mixing, pii, queries, secretscan, simhash, urlfilter
+from tilequilt.llm import ann, bpe, components, langid, linededup, media, mixing, neardup, pii, queries, secretscan, simhash, urlfilter
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, size string, line string, range string"
@@ -201,6 +201,41 @@ def test_simhash_blocks_keep_all_links(spark):
     assert {f: found.get(f, f) for f in fps} == want
 
 
+def shingle_set(text):
+    words = text.encode().translate(simhash._LOWER).split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def similar(a, b):
+    return a == b or 5 * len(a & b) >= 4 * len(a | b)
+
+
+def test_near_documents(spark, docs, texts, monkeypatch):
+    """Classes of Jaccard 0.8 and more over five words are those of all pairs, whichever shingles the order holds for common."""
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    want = classes(sorted(sets), lambda a, b: similar(sets[a], sets[b]))
+    got = {r.doc_id: r.component_id for r in neardup.similar_classes(docs).collect()}
+    assert got == want
+    rng = np.random.default_rng(5)
+    rows = []
+    for g, size in enumerate((40, 12, 3)):
+        base = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(60, 200)))]
+        for _ in range(size):
+            words = list(base)
+            for at in rng.integers(0, len(words), int(rng.integers(0, 6))):
+                words[at] = f"x{rng.integers(0, 10**6)}"
+            rows.append((len(rows), ("Shared  passage of some words for all documents here " if g < 2 else "") + " ".join(words[: len(words) - int(rng.integers(0, 12))])))
+    sets = {i: shingle_set(t) for i, t in rows}
+    want = classes(sorted(sets), lambda a, b: similar(sets[a], sets[b]))
+    assert 3 < len(set(want.values())) < len(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for sample, common in ((32, 8), (1, 3)):
+        monkeypatch.setattr(neardup, "SAMPLE", sample)
+        monkeypatch.setattr(neardup, "COMMON", common)
+        assert {r.doc_id: r.component_id for r in neardup.similar_classes(df).collect()} == want
+    assert sorted(r.doc_id for r in corpus_pipeline.simhash_dedup(spark, df, SF).collect()) == sorted(set(want.values()))
+
+
 def test_components_chain(spark):
     got = components.components(spark.createDataFrame([(i, i + 1) for i in range(100)] + [(7, 7), (None, 3)], "u long, v long")).collect()
     assert {r.component for r in got} == {0} and len(got) == 101

@@ -146,6 +146,20 @@ def star_links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     return groups.select("fps").mapInArrow(_stars, "u long, v long").distinct()
 
 
+def named_classes(marks: DataFrame, key: str, links) -> DataFrame:
+    """(doc_id, text_hash, key, component_id, keeper_hash) of staged marks (doc_id, text_hash, key), by links of keys.
+
+    links makes links (u, v) of the distinct keys; see simhash_classes for the names.
+    """
+    reps = staged(marks.groupBy(key).agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("first"), F.min("text_hash").alias("least_hash")))
+    found = components(links(reps.select(key)))
+    classed = reps.join(found.withColumnRenamed("node", key), key, "left").withColumn("component", F.coalesce("component", key))
+    names = classed.groupBy("component").agg(F.min("first").alias("first"), F.min("least_hash").alias("least_hash"))
+    named = classed.select(key, "component").join(names, "component")
+    named = named.select(key, F.col("first.doc_id").alias("component_id"), F.coalesce("first.text_hash", "least_hash").alias("keeper_hash"))
+    return marks.join(named, key).select("doc_id", "text_hash", key, "component_id", "keeper_hash")
+
+
 def simhash_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, fp, component_id, keeper_hash) of every row of docs.
 
@@ -154,26 +168,24 @@ def simhash_classes(docs: DataFrame) -> DataFrame:
     a null doc_id belong to their class but never name it (component_id is null if all its ids are null). Repeated rows
     each come back. An empty table gives an empty one. Extra columns are ignored.
     """
-    marks = staged(fingerprints(docs))
-    reps = staged(marks.groupBy("fp").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("first"), F.min("text_hash").alias("least_hash")))
-    found = components(star_links(reps.select("fp")))
-    classed = reps.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    names = classed.groupBy("component").agg(F.min("first").alias("first"), F.min("least_hash").alias("least_hash"))
-    named = classed.select("fp", "component").join(names, "component")
-    named = named.select("fp", F.col("first.doc_id").alias("component_id"), F.coalesce("first.text_hash", "least_hash").alias("keeper_hash"))
-    return marks.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id", "keeper_hash")
+    return named_classes(staged(fingerprints(docs)), "fp", star_links)
 
 
 def hex_fingerprint(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
+def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """docs with the row of each class that (component_id, keeper_hash) names; of rows equal in doc_id and text one stays."""
+    keep = classes.select(F.col("component_id").alias("__id"), F.col("keeper_hash").alias("__hash")).distinct()
+    rows = docs.withColumn("__text_hash", F.xxhash64("text"))
+    kept = rows.join(keep, rows["doc_id"].cast("long").eqNullSafe(keep["__id"]) & (rows["__text_hash"] == keep["__hash"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__text_hash"]).select(*(kept[c] for c in docs.columns))
+
+
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """docs with one row of each SimHash class: that with the smallest doc_id, then the smallest text hash.
 
     Of rows equal in doc_id and text one stays. Columns are those of docs.
     """
-    keep = simhash_classes(docs).select(F.col("component_id").alias("__id"), F.col("keeper_hash").alias("__hash")).distinct()
-    rows = docs.withColumn("__text_hash", F.xxhash64("text"))
-    kept = rows.join(keep, rows["doc_id"].cast("long").eqNullSafe(keep["__id"]) & (rows["__text_hash"] == keep["__hash"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__text_hash"]).select(*(kept[c] for c in docs.columns))
+    return keep_one(docs, simhash_classes(docs))
