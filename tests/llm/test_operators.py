@@ -336,6 +336,26 @@ def test_randomness_battery(spark):
     assert np.mean([r.n_random > 0 for r in got if r.doc_id >= 1000]) < 0.15
 
 
+def test_few_random_runs(spark):
+    """Random runs are found where their stratum holds few or none with a p near 1/2, and however often one run is copied."""
+    rng, letters = np.random.default_rng(4), list(secretscan.UPPER + secretscan.LOWER + secretscan.DIGITS)
+
+    def taken(rows):
+        got = secretscan.secret_report(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+        return [r.n_random > 0 for r in sorted(got, key=lambda r: r.doc_id)]
+
+    runs = ["x " + "".join(rng.choice(letters, 38)) + "a1 y" for _ in range(100)]
+    assert [taken(runs[i : i + 1]) for i in range(4)] == [[True]] * 4
+    assert taken(runs[:5]) == [True] * 5
+    assert taken(["x aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1 y"]) == [False]
+    assert np.mean(taken(runs + ["x aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1 y"] * 200)[:100]) > 0.95
+    # p in a stratum is 0.7 and more, or only under a half; one run of small p repeats.
+    rows = [("alnum/1", f"r{i}", 0.7 + 0.001 * i) for i in range(100)] + [("hex/1", f"h{i}", 0.1 + 0.1 * i) for i in range(3)]
+    rows += [("base64/1", f"b{i}", (i + 0.5) / 100) for i in range(100)] + [("base64/1", "copy", 0.3)] * 200
+    least = secretscan.thresholds(spark.createDataFrame(rows, "stratum string, run string, p double"))
+    assert least["alnum/1"] == 0 and least["hex/1"] <= 0.1 and least["base64/1"] <= 0.05
+
+
 def test_byte_bpe(docs, texts):
     path = P.path("byte_bpe_50k.tiktoken")
     vocabulary = bpe.Vocabulary(path, P.PATTERN)

@@ -5,14 +5,16 @@ encoding inferred from a run's characters, three tests of the hypothesis that it
 (chi-squared uniformity over the alphabet, runs about the alphabet's middle, lag-one serial correlation) and combined
 by Fisher's method. Random runs have uniform p-values, others small ones; so within each stratum of encoding and
 length, the number of random runs is estimated from the p-values over a half, and the least threshold is taken at
-which the estimated share of false ones among the runs above it is at most FALSE_SHARE.
+which the estimated share of false ones among the runs above it is at most FALSE_SHARE. Equal runs count once. A
+stratum of fewer than LEAST_RUNS runs borrows what it lacks from others of its encoding, those from all others, and those from
+PRIOR, so that every stratum has a threshold, even that of a corpus with a single run.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns
@@ -34,6 +36,10 @@ ENCODINGS = (
 )
 FALSE_SHARE = 0.1
 BINS = 64
+#: Distinct runs that a stratum's threshold is taken from at least; fewer borrow the others.
+LEAST_RUNS = 64
+#: Shares of the bins where nothing is known: half of the runs random (any p alike), half not (p in the lowest bin).
+PRIOR = [0.5 / BINS + (0.5 if b == 0 else 0.0) for b in range(BINS)]
 #: Strata of length: up to 31, 63, 127, 255 and beyond.
 LENGTHS = (32, 64, 128, 256)
 
@@ -162,20 +168,46 @@ def stratum(name: Column, n: Column) -> Column:
     return F.concat_ws("/", name, at.cast("string"))
 
 
-def thresholds(tested: DataFrame, share: float = FALSE_SHARE) -> dict[str, float]:
-    """Least p of a random run by stratum, of tested (stratum, p).
+def _filled(counts: list[float], others: list[float]) -> list[float]:
+    """counts, made up to LEAST_RUNS by the shares of others."""
+    lack = max(0.0, LEAST_RUNS - sum(counts)) / sum(others)
+    return [c + lack * o for c, o in zip(counts, others, strict=True)]
+
+
+def least_p(counts: list[float], share: float = FALSE_SHARE) -> float:
+    """Least p of a random run, of the numbers of runs by bin of p.
 
     With m0 random ones estimated as twice the count of p over 1/2, the share of others among those at t and above is
-    1 - m0 (1 - t) / count; the least t on a grid of BINS steps with a share of at most `share` is taken, at most 1/2.
-    Only that table, bounded by the number of strata, reaches the driver.
+    1 - m0 (1 - t) / count; the least t of the grid 0, 1 / BINS ... 1/2 with a share of at most `share` is taken. Where
+    none of the grid has a run at or above it, infinity: there is nothing to take.
     """
-    binned = tested.withColumn("bin", F.least(F.lit(BINS - 1), F.floor(F.col("p") * BINS)).cast("int")).groupBy("stratum", "bin").count()
-    above = Window.partitionBy("stratum").orderBy(F.desc("bin"))
-    whole = Window.partitionBy("stratum")
-    summed = binned.withColumn("above", F.sum("count").over(above)).withColumn("m0", 2 * F.coalesce(F.sum(F.when(F.col("bin") >= BINS // 2, F.col("count"))).over(whole), F.lit(0)))
-    t = F.col("bin") / F.lit(float(BINS))
-    good = summed.where((F.col("bin") <= BINS // 2) & (1 - F.col("m0") * (1 - t) / F.col("above") <= share))
-    return {r["stratum"]: r["t"] for r in good.groupBy("stratum").agg(F.min(t).alias("t")).collect()}
+    m0 = 2 * sum(counts[BINS // 2 :])
+    for at in range(BINS // 2 + 1):
+        above = sum(counts[at:])
+        if above > 0 and 1 - m0 * (1 - at / BINS) / above <= share:
+            return at / BINS
+    return math.inf
+
+
+def thresholds(tested: DataFrame, share: float = FALSE_SHARE) -> dict[str, float]:
+    """Least p of a random run by stratum, of tested (stratum, run, p); rows of the same run count once.
+
+    Only the counts by stratum and bin, bounded by the number of strata, reach the driver.
+    """
+    distinct = tested.select("stratum", F.xxhash64("run").alias("run"), "p").groupBy("stratum", "run").agg(F.min("p").alias("p"))
+    binned = distinct.withColumn("bin", F.least(F.lit(BINS - 1), F.floor(F.col("p") * BINS)).cast("int")).groupBy("stratum", "bin").count()
+    own: dict[str, list[float]] = {}
+    for r in binned.collect():
+        own.setdefault(r["stratum"], [0.0] * BINS)[r["bin"]] += r["count"]
+    def total(names: list[str]) -> list[float]:
+        return [sum(x) for x in zip([0.0] * BINS, *(own[k] for k in names), strict=True)]
+
+    out = {}
+    for name, counts in own.items():
+        kin = [k for k in own if k != name and k.split("/")[0] == name.split("/")[0]]
+        rest = [k for k in own if k != name and k not in kin]
+        out[name] = least_p(_filled(counts, _filled(total(kin), _filled(total(rest), PRIOR))), share)
+    return out
 
 
 def _tested(text: Column, base: Column) -> Column:
@@ -190,7 +222,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
     base: spans of the fixed kinds; random: runs that the battery takes for random, which touch none of base. The
     corpus is read twice: p-values by stratum are counted over all documents, then all are scanned with the thresholds
-    that follow. Where a stratum has no p over a half, none of its runs is taken. A null text is empty; null ids pass;
+    that follow. Where a stratum of LEAST_RUNS runs or more has no p over a half, none of its runs is taken. A null text is empty; null ids pass;
     repeated rows each come back; an empty table gives an empty one; extra columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -199,7 +231,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     hopeful = F.col("text").rlike(RUN)
     none = F.array().cast("array<struct<span:struct<start:int,ord:int,stop:int,kind:string,value:string>,stratum:string,p:double>>")
     rows = rows.withColumn("tested", F.when(hopeful, _tested(F.col("text"), F.col("base"))).otherwise(none))
-    least = thresholds(rows.select(F.explode("tested").alias("x")).select("x.stratum", "x.p"))
+    least = thresholds(rows.select(F.explode("tested").alias("x")).select("x.stratum", F.col("x.span.value").alias("run"), "x.p"))
     limit = F.create_map(*(F.lit(x) for k, v in sorted(least.items()) for x in (k, v))) if least else F.create_map().cast("map<string,double>")
     taken = F.filter("tested", lambda x: x["p"] >= F.coalesce(F.element_at(limit, x["stratum"]), F.lit(math.inf)))
     return rows.select("doc_id", "base", F.transform(taken, lambda x: x["span"]).alias("random"))
