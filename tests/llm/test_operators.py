@@ -356,6 +356,16 @@ def test_few_random_runs(spark):
     assert least["alnum/1"] == 0 and least["hex/1"] <= 0.1 and least["base64/1"] <= 0.05
 
 
+def test_random_run_in_a_path(spark):
+    """A token in a path with - or _ is found by itself, and so is one with both + and -."""
+    rng, letters = np.random.default_rng(6), list(secretscan.UPPER + secretscan.LOWER + secretscan.DIGITS)
+    token = "".join(rng.choice(letters, 40)) + "a1"
+    text = f"é see /some-long_path/v2/{token}/raw-file_name1 and {token[:20]}+{token[20:]}-x ok"
+    r = secretscan.secret_report(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    at, second = text.index(token), text.index(token[:20] + "+")
+    assert r.spans == f"random:{at}:{at + 42},random:{second}:{second + 45}"
+
+
 def test_byte_bpe(docs, texts):
     path = P.path("byte_bpe_50k.tiktoken")
     vocabulary = bpe.Vocabulary(path, P.PATTERN)

@@ -24,6 +24,8 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 LEAST_ASSIGN = 12
+#: A run with one of + / and one of - _ fits no encoding as a whole (such as the path of a URL); its pieces between / are tested.
+MIXED, PIECE = r"^(?=.*[+/])(?=.*[_-])", r"[A-Za-z0-9+_-]{20,}={0,2}"
 RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}"
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 #: Encodings in the order of inference: what a run must look like, and its alphabet.
@@ -33,6 +35,7 @@ ENCODINGS = (
     ("alnum", r"^[A-Za-z0-9]+$", UPPER + LOWER + DIGITS),
     ("base64", r"^[A-Za-z0-9+/]+=*$", UPPER + LOWER + DIGITS + "+/"),
     ("base64url", r"^[A-Za-z0-9_-]+=*$", UPPER + LOWER + DIGITS + "-_"),
+    ("mixed", r"^[A-Za-z0-9+_-]+=*$", UPPER + LOWER + DIGITS + "+-_"),
 )
 FALSE_SHARE = 0.1
 BINS = 64
@@ -73,9 +76,16 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(spans(text, ASSIGN, "assign", 0, LEAST_ASSIGN, 2), spans(text, ACCESS, "access", 1), spans(text, HEX, "hex", 2)))
 
 
+def pieces(run: Column) -> Column:
+    """The spans of a run to be tested: itself, or its long pieces between / if it is MIXED."""
+    moved = F.transform(spans(run["value"], PIECE, "random", 3), lambda s: s.withField("start", s["start"] + run["start"]).withField("stop", s["stop"] + run["start"]))
+    return F.when(run["value"].rlike(MIXED), moved).otherwise(F.array(run))
+
+
 def free_runs(text: Column, base: Column) -> Column:
     """Spans of candidate runs with a letter and a digit that touch no base span."""
-    runs = F.filter(spans(text, RUN, "random", 3), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
+    every = F.flatten(F.transform(spans(text, RUN, "random", 3), pieces))
+    runs = F.filter(every, lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
     return F.filter(runs, lambda s: ~F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
 
 
