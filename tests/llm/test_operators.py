@@ -108,6 +108,12 @@ def test_language_held_out(spark):
     assert all(0 <= r.score <= 1 and r.n_agree <= r.n_positions for r in got)
 
 
+def test_all_languages_are_learnt(spark):
+    rows = [(i, f"text {i}", f"l{i // 3}") for i in range(3300)]
+    got = langid.training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {r.lang for r in got} == {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 5}
+
+
 def test_language_gradient():
     """Backpropagation through time against differences."""
     net, rng = langid.Network(["a", "b"], 3), np.random.default_rng(0)

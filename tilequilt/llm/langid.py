@@ -233,11 +233,8 @@ def training_rows(docs: DataFrame, per_lang: int = DOCS_PER_LANG, seed: int = 11
     """
     rows = columns(docs, "doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''").where(fold(F.col("doc_id")) != 0)
     key = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    counts = {r["lang"]: r["n"] for r in columns(docs, "doc_id", "lang").where(fold(F.col("doc_id")) != 0).where("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
-    if not counts:
-        return []
-    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, 4.0 * per_lang / n)))
-    near = rows.withColumn("__key", key).where(F.col("__key") < F.element_at(share, F.col("lang")))
+    counts = columns(docs, "doc_id", "lang").where(fold(F.col("doc_id")) != 0).where("lang IS NOT NULL").groupBy("lang").agg((F.lit(4.0 * per_lang) / F.count("*")).alias("__share"))
+    near = rows.withColumn("__key", key).join(F.broadcast(counts), "lang").where(F.col("__key") < F.col("__share"))
     # Windows at even distances over the whole text, so that what is fetched does not grow with a text's length.
     raw = F.col("text").cast("binary")
     size = F.octet_length("text")
