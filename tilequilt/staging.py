@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,16 +11,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or an own folder only where that is unset."""
+    """spark.checkpoint.dir, or the context's checkpoint folder; where neither is set, an own temporary folder, which
+    goes at the end of the process. That one only serves a local master: on a cluster it raises instead, as executors
+    would not see each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tilequilt-"))
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="tilequilt-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(own)
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """Write df as Parquet and read it back, which ends its lineage."""
+    """Write df as Parquet and read it back, which ends its lineage: a lost executor costs one re-read.
+
+    The table stays as long as results that read it may be run, so cleaning the shared folder is the cluster's part.
+    """
     path = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
