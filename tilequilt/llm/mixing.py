@@ -53,12 +53,13 @@ def mix_plan(docs: DataFrame, seed: str = SEED) -> DataFrame:
     taken is the number of words that the mix takes from the row, repeats counted: whole epochs while the budget (the
     target, rounded) exceeds the source's size, then a cut in hash-random order, exactly at the budget, so that a
     source's taken words sum up to it. No row exceeds twice its size. Null texts have size 0 and give 0; null is a
-    source of its own; null ids hash like the word null. Rows that tie (same id, same text) follow one another.
+    source of its own; null ids hash like the word null. The hash is of id and text, so that rows of one id or without
+    one are spread; rows that tie (same id, same text) follow one another.
 
     The order within a source is never sorted in one task: keys fall into 4,096 ranges of the hash, sums by (source,
     range) are prefix-summed over that small table, and only rows within a range are put in order.
     """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce("text", F.lit("")))))
     rows = columns(docs, "doc_id", "source", "text").select("doc_id", "source", F.xxhash64("text").alias("text_hash"), word_count(F.col("text")).alias("size"), key.alias("key"))
     rows = staged(rows.withColumn("range", F.substring("key", 1, RANGE_DIGITS)))
     by_range = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
@@ -83,26 +84,34 @@ def mixed(docs: DataFrame, seed: str = SEED) -> DataFrame:
     A cut copy holds the row's first words up to the budget, with their white space, and its n_chars (if docs has such
     a column) is set anew. Rows of which nothing is taken (also those without a word) go.
     """
-    plan = mix_plan(docs, seed).where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__hash"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    nth = Window.partitionBy("__id", "__source", "__hash").orderBy("__taken")
-    plan = plan.withColumn("__nth", F.row_number().over(nth))
-    tied = Window.partitionBy("doc_id", "source", "__text_hash").orderBy(F.lit(0))
-    rows = docs.withColumn("__text_hash", F.xxhash64("text")).withColumn("__row", F.row_number().over(tied))
-    on = rows["doc_id"].eqNullSafe(plan["__id"]) & rows["source"].eqNullSafe(plan["__source"]) & (rows["__text_hash"] == plan["__hash"]) & (rows["__row"] == plan["__nth"])
-    copies = F.sequence(F.lit(1), F.ceil(F.col("__taken") / F.col("__size")).cast("int"))
-    many = rows.join(plan, on).withColumn("__copy", F.explode(copies))
-    words = F.least(F.col("__size"), F.col("__taken") - (F.col("__copy") - 1) * F.col("__size"))
+    keys = ["doc_id", "source", "text_hash"]
+    plan = staged(mix_plan(docs, seed).select(*keys, "size", "taken"))
+    groups = plan.groupBy(*keys).agg(F.min("taken").alias("low"), F.max("taken").alias("high"), F.first("size").alias("size"))
+    groups = groups.where("high > 0").toDF("g_id", "g_source", "g_hash", "low", "high", "size")
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row")).select("row", F.col("row.doc_id").alias("id"), F.col("row.source").alias("source"), F.xxhash64("row.text").alias("hash"))
+    on = F.col("id").eqNullSafe(F.col("g_id")) & rows["source"].eqNullSafe(F.col("g_source")) & (F.col("hash") == F.col("g_hash"))
+    even = rows.join(groups.where("low = high").withColumn("taken", F.col("high")), on).select("row", "size", "taken")
+    # Rows alike in id, source and text of which the cut takes differently (at most one such group a source) are numbered.
+    uneven = groups.where("low < high")
+    nth = F.row_number().over(Window.partitionBy("g_id", "g_source", "g_hash").orderBy("taken"))
+    shares = plan.join(uneven.drop("size"), plan["doc_id"].eqNullSafe(F.col("g_id")) & plan["source"].eqNullSafe(F.col("g_source")) & (plan["text_hash"] == F.col("g_hash")))
+    shares = shares.select("g_id", "g_source", "g_hash", "size", "taken", nth.alias("nth")).where("taken > 0")
+    tied = rows.join(uneven.drop("size"), on).select("row", "id", "source", "hash", F.row_number().over(Window.partitionBy("id", "source", "hash").orderBy(F.lit(0))).alias("n"))
+    uneven = tied.join(shares, on & (F.col("n") == F.col("nth"))).select("row", "size", "taken")
+    many = even.unionByName(uneven).withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
+    words = F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size"))
     # The words and the white space between them, up to the cut; the whole text where nothing is cut.
-    lead = F.regexp_extract("text", r"^[\x20\x09-\x0D]*", 0)
-    pieces = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    lead = F.regexp_extract("row.text", r"^[\x20\x09-\x0D]*", 0)
+    pieces = F.regexp_extract_all("row.text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
     short = F.concat(lead, F.array_join(F.slice(pieces, F.lit(1), words.cast("int")), ""))
-    out = many.withColumn("__text", F.when(words == F.col("__size"), F.col("text")).otherwise(short))
-    keep = {"text": F.col("__text").alias("text"), "n_chars": F.when(F.col("__text").eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.length("__text")).cast(dict(docs.dtypes).get("n_chars", "long")).alias("n_chars")}
-    return out.select(*(keep[c] if c in keep else F.col(c) for c in docs.columns))
+    out = many.select("row", (words == F.col("size")).alias("whole"), F.when(words == F.col("size"), F.col("row.text")).otherwise(short).alias("kept"))
+    kinds = dict(docs.dtypes)
+    made = {"text": F.col("kept"), "n_chars": F.when(F.col("whole"), F.col("row.n_chars")).otherwise(F.length("kept")).cast(kinds["n_chars"]) if "n_chars" in kinds else None}
+    return out.select(*((made[c] if c in made else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 ORACLE = rf"""
-WITH d AS (SELECT doc_id, source, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k,
+WITH d AS (SELECT doc_id, source, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS k,
     CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 2.0 * sum(size) AS cap,
     CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS w FROM d GROUP BY source),
