@@ -20,10 +20,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns
+from .common import chunks, columns, in_arrow
 
 #: Pre-tokens of one generation that a worker remembers; of two generations the older is forgotten at the bound.
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 _MASK = (1 << 64) - 1
 
 
@@ -220,22 +220,20 @@ class Codec(dict):
 def _encoder(shared, full: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value)
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * full
         for batch in batches:
-            n, ids_hash, text_hash, all_ids = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                ids = codec.encode(text or "")
-                n.append(ids.count(" ") + 1 if ids else 0)
-                ids_hash.append(hashlib.sha256(ids.encode()).hexdigest())
-                text_hash.append(hashlib.sha256(codec.decode(ids)).hexdigest())
-                if full:
-                    all_ids.append(np.array(ids.split(), np.int32))
-                codec.trim()
-            out = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if full:
-                out.append(pa.array(all_ids, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.record_batch(out, names=names)
+            for begin, texts in chunks(batch.column("text").to_pylist()):
+                n, ids_hash, text_hash, all_ids = [], [], [], []
+                for text in texts:
+                    ids = codec.encode(text or "")
+                    n.append(ids.count(" ") + 1 if ids else 0)
+                    ids_hash.append(hashlib.sha256(ids.encode()).hexdigest())
+                    text_hash.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+                    if full:
+                        all_ids.append(np.fromstring(ids, np.int32, sep=" ") if ids else np.empty(0, np.int32))
+                    codec.trim()
+                out = [batch.column("doc_id").slice(begin, len(texts)), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
+                yield pa.record_batch(out + [pa.array(all_ids, pa.list_(pa.int32()))] * full, names=names)
 
     return encode
 
@@ -250,4 +248,4 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(path, pattern))
     rows = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return rows.mapInArrow(_encoder(shared, with_ids), schema)
+    return in_arrow(rows, _encoder(shared, with_ids), schema)

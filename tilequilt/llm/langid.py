@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, columns, text_bytes
+from .common import chunks, columns, in_arrow, text_bytes
 
 HIDDEN = 8
 WINDOW = 64
@@ -24,7 +24,7 @@ WINDOWS_PER_DOC = 8
 EPOCHS = 4
 BATCH = 256
 #: Bytes of text in one vectorised step.
-STEP_BYTES = 1 << 18
+STEP_BYTES = 1 << 17
 UNKNOWN = "und"
 #: A filter rejects documents below this pooled probability (besides those without a letter).
 LEAST_SCORE = 0.3
@@ -276,7 +276,7 @@ def predict_languages(docs: DataFrame, net: Network, *keep: str) -> DataFrame:
     rows = columns(docs, "doc_id", "text", *keep)
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in rows.columns if c != "text") + ", lang_pred string, score double, n_positions long, n_agree long"
-    return rows.mapInArrow(_predictor(net.frozen()), schema)
+    return in_arrow(rows, _predictor(net.frozen()), schema)
 
 
 def drop_unknown(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
@@ -286,13 +286,13 @@ def drop_unknown(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """
     net = train(docs)
     frozen = net.frozen()
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("__row"), F.col("text"))
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = next(_predictor(frozen)(iter([batch.select(["text"])])))
+            found = next(_predictor(frozen)(iter([pa.record_batch([batch.column("row").field("text")], names=["text"])])))
             on = pa.array([p != UNKNOWN and s >= least for p, s in zip(found.column("lang_pred").to_pylist(), found.column("score").to_pylist(), strict=True)], pa.bool_())
-            yield batch.select(["__row"]).filter(on)
+            yield batch.filter(on)
 
     fields = ", ".join(f"`{c}`: {k}" for c, k in docs.dtypes)
-    return rows.mapInArrow(keep, f"__row struct<{fields}>").select("__row.*")
+    return in_arrow(rows, keep, f"row struct<{fields}>").select("row.*")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, text_bytes
+from .common import columns, in_arrow, text_bytes
 
 UNIT = 64
 #: Blocks in one vectorised step.
@@ -416,7 +416,8 @@ def store_media(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media) of every row of docs (doc_id, text): the text's UTF-8 bytes, zero-padded to a positive
     multiple of 64, as a baseline JPEG. A null text is empty; null ids pass; repeated rows each come back; an empty
     table gives an empty one; extra columns are ignored. A text over 4 GB does not fit an image and fails."""
-    return columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(_store, "doc_id long, n_bytes long, media binary")
+    rows = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
+    return in_arrow(rows, _store, "doc_id long, n_bytes long, media binary")
 
 
 def read_media(stored: DataFrame) -> DataFrame:
@@ -426,4 +427,4 @@ def read_media(stored: DataFrame) -> DataFrame:
     but a baseline JPEG raises an error: stored media are never null.
     """
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, thumb_width int, thumb_height int, thumb_sha256 string"
-    return columns(stored, "doc_id", "n_bytes", "media").mapInArrow(_read, schema)
+    return in_arrow(columns(stored, "doc_id", "n_bytes", "media"), _read, schema)

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns
+from .common import columns, in_arrow
 
 #: Key of the surrogates; production passes its own.
 KEY = b"surrogate key 1"

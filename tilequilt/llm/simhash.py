@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, staged, text_bytes
+from .common import columns, hot_join, in_arrow, staged, text_bytes
 from .components import components
 
 RADIUS = 3
@@ -69,7 +69,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, fp) of every row; a null text counts as empty and has fingerprint 0."""
     rows = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, text_hash long, fp long")
+    return in_arrow(rows, _fingerprints, "doc_id long, text_hash long, fp long")
 
 
 def _masks() -> list[int]:
@@ -96,7 +96,7 @@ def links_within(fps: np.ndarray, table: np.ndarray, refs: np.ndarray, radius: i
     order = np.argsort(table[:, 0], kind="stable")
     first = table[order, 0].astype(np.int64)
     until = np.searchsorted(first, first + radius, side="right")
-    step = max(1, (1 << 21) // max(1, len(fps)))
+    step = max(1, (1 << 18) // max(1, len(fps)))
     for lo in range(0, len(fps), step):
         rows = np.arange(lo, min(lo + step, len(fps)))
         span = until[rows] - rows - 1
@@ -118,7 +118,9 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         column = batch.column("fps")
         flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        table = np.bitwise_count(flat[:, None] ^ refs[None, :]).astype(np.int8)
+        table = np.empty((len(flat), len(refs)), np.int8)
+        for i, ref in enumerate(refs):  # one pivot at a time: eight bytes a fingerprint for a while
+            table[:, i] = np.bitwise_count(flat ^ ref)
         cuts = np.cumsum([0, *column.value_lengths().to_pylist()]).tolist()
         us, vs = [], []
         for a, b in zip(cuts, cuts[1:], strict=False):
@@ -139,11 +141,11 @@ def star_links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     """Distinct fps (fp) -> links (u, v) with the same connected classes as all pairs within RADIUS."""
     keys = F.array(*(F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for i, m in enumerate(_masks())))
     keyed = fps.select("fp", F.explode(keys).alias("x")).select("fp", "x.k", "x.part")
-    shared = keyed.groupBy("k", "part").count().where("count > 1")
-    rows = keyed.join(shared, ["k", "part"]).withColumn("nb", F.ceil(F.col("count") / F.lit(block)).cast("int")).withColumn("b", F.pmod(F.xxhash64("fp", "k"), "nb").cast("int"))
+    shared = staged(keyed.groupBy("k", "part").agg(F.count("*").alias("times")).where("times > 1").withColumn("count", F.col("times")))
+    rows = hot_join(keyed, shared, ["k", "part"], ["fp"]).withColumn("nb", F.ceil(F.col("count") / F.lit(block)).cast("int")).withColumn("b", F.pmod(F.xxhash64("fp", "k"), "nb").cast("int"))
     rows = rows.select("k", "part", "fp", "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
     groups = rows.groupBy("k", "part", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j")).agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1")
-    return groups.select("fps").mapInArrow(_stars, "u long, v long").distinct()
+    return in_arrow(groups.select("fps"), _stars, "u long, v long").distinct()
 
 
 def named_classes(marks: DataFrame, key: str, links) -> DataFrame:
@@ -177,10 +179,10 @@ def hex_fingerprint(fp):
 
 def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """docs with the row of each class that (component_id, keeper_hash) names; of rows equal in doc_id and text one stays."""
-    keep = classes.select(F.col("component_id").alias("__id"), F.col("keeper_hash").alias("__hash")).distinct()
-    rows = docs.withColumn("__text_hash", F.xxhash64("text"))
-    kept = rows.join(keep, rows["doc_id"].cast("long").eqNullSafe(keep["__id"]) & (rows["__text_hash"] == keep["__hash"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__text_hash"]).select(*(kept[c] for c in docs.columns))
+    keep = classes.select(F.col("component_id").alias("keep_id"), F.col("keeper_hash").alias("keep_hash")).distinct()
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row")).select("row", F.col("row.doc_id").cast("long").alias("id"), F.xxhash64("row.text").alias("hash"))
+    kept = rows.join(keep, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("hash") == F.col("keep_hash")), "left_semi")
+    return kept.dropDuplicates(["id", "hash"]).select("row.*")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
