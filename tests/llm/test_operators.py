@@ -160,11 +160,42 @@ def test_nearest_recall_and_scores(spark):
     assert hits / (20 * len(got)) >= 0.9
 
 
+def brute_nearest(rows, every=20, k=20):
+    """(query_id, [(vec_id, score)]) of each query row, against every other row."""
+    good = {(i, tuple(v)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+    out = []
+    for i, v in sorted(good):
+        if i % every == 0:
+            near = [(j, float(ann.inner_products(np.array([w], float), np.array(v, float))[0])) for j, w in good if (j, w) != (i, v) and len(w) == len(v)]
+            out.append((i, sorted(near, key=lambda x: (-x[1], x[0]))[:k]))
+    return sorted(out)
+
+
+def taken_nearest(df):
+    out = {}
+    for r in sorted(ann.nearest(df).collect(), key=lambda r: r.rank):
+        out.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    return sorted(out.items())
+
+
 def test_nearest_odd_vectors(spark):
-    rows = [(i, [1.0, float(i % 3)], "x") for i in range(0, 60)] + [(100, None, "x"), (120, [0.0, 0.0], "x"), (None, [1.0, 1.0], "x"), (140, [1.0, float("nan")], "x"), (20, [1.0, 2.0], "x")]
-    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")).collect()
-    assert {r.query_id for r in got} == {0, 20, 40} and [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == 40] == [i for i in range(60) if i != 40][:20] or len(got) == 60
-    assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+    """Ties, nulls, zero and non-finite vectors, lengths, exact repeats; few vectors, so the result is exact."""
+    rows = [(i, [1.0, float(i % 3)]) for i in range(60)] + [(100, None), (120, [0.0, 0.0]), (None, [1.0, 1.0]), (140, [1.0, float("nan")]), (160, [1.0, None]), (180, []), (200, [1.0, 2.0, 3.0]), (201, [3.0, 2.0, 1.0]), (20, [1.0, 2.0]), (3, [1.0, 0.0])]
+    schema = "vec_id long, embedding array<double>, score string, key string, b int"
+    assert taken_nearest(spark.createDataFrame([(*r, "x", "y", 1) for r in rows], schema)) == brute_nearest(rows)
+    assert ann.nearest(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_nearest_norms_and_repeated_ids(spark):
+    """Norms over the whole range of doubles, and rows that share an id: none is lost."""
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.normal(size=8) * 10.0 ** float(e)).tolist()) for i, e in enumerate(rng.choice([-300, -160, -5, 0, 5, 150], 50))]
+    rows += [(1001, [1e200] + [0.0] * 7), (1002, [-1e200] + [0.0] * 7), (1003, [1e-320] * 8)] + [(7, rng.normal(size=8).tolist()) for _ in range(5)]
+    assert taken_nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")) == brute_nearest(rows)
+    # A large table with one giant: found by all that it is nearest to.
+    many = [(i, rng.normal(size=8).tolist()) for i in range(2000)] + [(5001, [1e200] + [0.0] * 7)]
+    got = dict(taken_nearest(spark.createDataFrame(many, "vec_id long, embedding array<double>")))
+    assert all((got[i][0][0] == 5001) == (v[0] > 0) for i, v in many if i % 20 == 0)
 
 
 def brute_fingerprint(text):
@@ -247,27 +278,75 @@ def test_components_chain(spark):
     assert {r.component for r in got} == {0} and len(got) == 101
 
 
-def test_surrogates(texts):
+def test_permutations_and_shapes():
     for n in (2, 3, 10, 97):
         p = pii.Permutation(b"k", n)
         assert sorted(map(p, range(n))) == list(range(n)) and all(p(i) != i for i in range(n))
-    for kind, samples in {"number": [f"{i:016d}" for i in range(300)], "ipv4": [f"8.8.{i // 16}.{i % 16}" for i in range(300)], "email": [f"x{i:03d}@mail.example.com" for i in range(300)], "name": ["Maria", "Marta", "Mirta", "Иван"]}.items():
-        made = [pii.surrogate(pii.KEY, kind, s) for s in samples]
-        assert len(set(made)) == len(made) and all(a != b and (kind == "ipv4" or len(a) == len(b)) for a, b in zip(samples, made, strict=True))
-    assert pii.surrogate(pii.KEY, "name", "Maria").endswith("a")
+    samples = {"number": [f"{i:016d}" for i in range(300)], "ipv4": [f"8.8.{i // 16}.{i % 16}" for i in range(300)], "email": [f"x{i:03d}@mail.example.com" for i in range(300)], "phone": [f"+49 30 {i:07d}" for i in range(300)]}
+    for kind, some in samples.items():
+        made = [pii.surrogate(pii.KEY, kind, s) for s in some]
+        assert len(set(made)) == len(made) and all(a != b and (kind == "ipv4" or len(a) == len(b)) for a, b in zip(some, made, strict=True))
     new, found, made = pii.replaced("Frau Maria Schmidt, jo@corp-site.de, 4111 1111 1111 1111, +1 (168) 555-5254, 10.0.0.7; Frau Maria Schmidt")
     assert [k for k, _, _ in found] == ["name", "email", "number", "phone", "ipv4", "name"] and made[0] == made[-1]
     card = made[2].replace(" ", "")
-    assert pii._luhn(card[:-1]) == int(card[-1]) and made[3].startswith("+1 (") and made[4].startswith("10.")
+    assert pii.luhn(card[:-1]) == int(card[-1]) and made[3].startswith("+1 (") and made[4].startswith("10.")
+    assert made[0].split()[0].lower() in pii.GIVEN["f"]
     assert pii.replaced("plain text of 2024-01-02 v1.2.3")[0] == "plain text of 2024-01-02 v1.2.3"
+    iban = pii.surrogate(pii.KEY, "iban", "DE89 3704 0044 0532 0130 00").replace(" ", "")
+    assert iban[:2] == "DE" and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1 and iban != "DE89370400440532013000"
+
+
+VARIANTS = [
+    ("phone", ["+49 30 1234567", "+49-30-1234567", "+49 (30) 123 45 67", "+4930 1234567"]), ("email", ["Jo.Doe@Corp.org", "jo.doe@corp.org", "JO.DOE@CORP.ORG"]),
+    ("iban", ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000"]), ("number", ["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111"]),
+]
 
 
-def test_surrogates_of_corpus(docs, texts):
-    found = pii.with_surrogates(docs)
+@pytest.mark.parametrize("kind, forms", VARIANTS)
+def test_variants_of_an_entity_share_a_surrogate(kind, forms):
+    found = [pii.replaced(f"see {f} there") for f in forms]
+    assert all([k for k, _, _ in spans] == [kind] for _, spans, _ in found)
+    assert len({pii.canonical(kind, made[0]) for _, _, made in found}) == 1
+    assert all(len(made[0]) == len(f) and made[0] != f for f, (_, _, made) in zip(forms, found, strict=True))
+
+
+def test_names_leave_no_trace():
+    """All mentions of a name go, alike by words, in any script; words of other sense stay."""
+    text = "Mr John Smith met Dr Արամ and Dr Éé. Mr Smith's car; contact: John Smith, SMITH, O'Brien. Frau Dr 山田 and Prof Иван O'Brien-Weber saw smithereens."
+    new, spans, made = pii.replaced(text)
+    left = {pii.bare(w) for w in pii._WORDS.findall(new)}
+    assert not left & {"john", "smith", "արամ", "éé", "山田", "иван", "obrienweber"} and "smithereens" in left and "contact" in left
+    by = {text[a:b]: s for (_, a, b), s in zip(spans, made, strict=True)}
+    assert by["Smith"].upper() == by["SMITH"] == by["John Smith"].split()[1].upper() and by["John Smith"].split()[0].lower() in pii.GIVEN["m"]
+    assert all(text[a:b][0].isupper() == s[0].isupper() and pii._kind(pii._low(text[a]))[0] == pii._kind(pii._low(s[0]))[0] for (_, a, b), s in zip(spans, made, strict=True))
+    # A surrogate that the document holds as a word is not taken.
+    once = pii.replaced("Mr Tanner")[2][0]
+    again = pii.replaced(f"Mr Tanner and {once}")
+    assert again[2] != [once] and again[0].endswith(once)
+
+
+def test_surrogates_of_corpus(spark, docs, texts):
+    """Every row against its own text: nothing found is left, all else stays, and equal entities have equal surrogates."""
+    planted = [(10**6 + i, f"Dr Anna Web{chr(97 + i % 26)}rin wrote to Mr Karl Vogt: a{i}@firm{i}.net, +44 20 7946 0{i:03d}, 4111 1111 1111 1111. Vogt agrees.") for i in range(40)]
+    some = docs.select("doc_id", "text").unionByName(spark.createDataFrame(planted, "doc_id long, text string"))
+    whole = texts | dict(planted)
+    found = pii.with_surrogates(some)
     assert pii.collisions(found).count() == 0
-    for r in found.collect():
-        assert all(texts[r.doc_id][x.start : x.stop] == x.entity for x in r.found)
-        assert r.found or r.text == texts[r.doc_id]
+    one: dict[tuple, str] = {}
+    rows = found.collect()
+    assert {r.doc_id for r in rows} == set(whole) and sum(len(r.found) for r in rows) > 250
+    for r in rows:
+        old, at, parts = whole[r.doc_id], 0, []
+        for x in r.found:
+            assert old[x.start : x.stop] == x.entity and x.start >= at
+            parts += [old[at : x.start], x.surrogate]
+            at = x.stop
+            if x.kind == "name":
+                assert not {w for w in map(pii.bare, pii._WORDS.findall(x.entity)) if len(w) > 1} & {pii.bare(w) for w in pii._WORDS.findall(r.text) if not w[0].islower()}
+            else:
+                assert x.entity not in r.text
+                assert one.setdefault((x.kind, x.entity[0] == "+", pii.canonical(x.kind, x.entity)), pii.canonical(x.kind, x.surrogate)) == pii.canonical(x.kind, x.surrogate)
+        assert "".join([*parts, old[at:]]) == r.text
 
 
 def brute_lines(texts):
