@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tilequilt.functions import geometry as G
 from tilequilt.functions import mock
-from tilequilt.operators import coverage, grid, nms, rings, telemetry
+from tilequilt.operators import config, coverage, grid, nms, rings, telemetry
 from tilequilt.plans import queries, session
 from tilequilt.sources import geotiff
 
@@ -250,3 +250,155 @@ def test_sinks(spark, tmp_path):
     post.open(0, 0)
     post.process({"document": "{}"})  # nobody listens: a warning, no error
     post.close(None)
+
+
+def test_suppression_against_a_plain_loop(spark):
+    """Dense boxes of very different sizes, in rounds and by one task, and a chain of 1,000."""
+    rng = np.random.default_rng(11)
+    n = 600
+    x, y = rng.uniform(0, 300, n), rng.uniform(0, 300, n)
+    w, h = rng.choice([6.0, 20.0, 90.0, 700.0], n) * rng.uniform(0.7, 1.3, n), rng.choice([6.0, 20.0, 90.0, 700.0], n) * rng.uniform(0.7, 1.3, n)
+    rows = [(i, 1, int(i % 2), float(rng.integers(0, 20)), *(float(v) for v in (x[i], y[i], x[i] + w[i], y[i] + h[i]))) for i in range(n)]
+    rows += [(1000 + i, 2, 0, float(2000 - i), float(i * 3), 0.0, float(i * 3 + 10), 10.0) for i in range(1000)]
+
+    def conflict(a, b):
+        iw, ih = min(a[6], b[6]) - max(a[4], b[4]), min(a[7], b[7]) - max(a[5], b[5])
+        inter = max(0.0, iw) * max(0.0, ih)
+        return np.float32(inter / ((a[6] - a[4]) * (a[7] - a[5]) + (b[6] - b[4]) * (b[7] - b[5]) - inter)) > np.float32(0.5)
+
+    kept = []
+    for r in sorted(rows, key=lambda r: (-r[3], r[0])):
+        if not any(r[1:3] == k[1:3] and conflict(k, r) for k in kept):
+            kept.append(r)
+    want = {r[0] for r in kept}
+    assert sum(i >= 1000 for i in want) == 500
+    boxes = spark.createDataFrame(rows, "det_id long, session_id long, class_id int, conf double, x0 double, y0 double, x1 double, y1 double")
+    assert {r["det_id"] for r in nms.suppress(boxes, ["session_id", "class_id"], 16, nms.iou_over(0.5)).collect()} == want
+    few = boxes.where("session_id = 1")
+    edges = nms.conflicts(few, ["session_id", "class_id"], 16, nms.iou_over(0.5))
+    assert {i for i in range(n)} - {r["det_id"] for r in nms.suppressed(edges, 5).collect()} == {i for i in want if i < n}
+    assert nms.suppress(boxes.limit(0), ["session_id", "class_id"]).count() == 0
+
+
+def test_engine_on_a_raster(spark, tmp_path):
+    """Registered, run by a model over windows, mapped, stored and read back as documents; the log has each step."""
+    from tilequilt.operators import inference as I
+
+    image = np.zeros((100, 150, 3), "u1")
+    geotiff.write_geotiff(str(tmp_path / "a.tif"), image, [1e6, 2.0, 0, 5e6, 0, -2.0], 3857)
+    (tmp_path / "b.tif").write_bytes(b"no image")
+
+    def make():
+        """One box of class 5 a tile, in the middle of it."""
+        def model(tensor):
+            out = np.zeros((1, 84, 3), np.float32)
+            out[0, :4, 1] = 320, 320, 64, 64
+            out[0, 4 + 5, 1] = 0.9
+            return out
+
+        return model
+
+    e, seen = session.Engine(spark, str(tmp_path / "store"), {"onnx": make}), []
+    e.on_progress.append(lambda *x: seen.append(x))
+    with pytest.raises(ValueError, match="Cannot open file"):
+        e.register(str(tmp_path / "b.tif"))
+    sid = e.register(str(tmp_path / "a.tif"))
+    assert e.results(sid)["features"] == []
+    e.configure(sid, model="onnx", tile_size=64, overlap=0, conf_thresh=0.3)
+    kept = e.start(sid).collect()
+    assert 1 <= len(kept) <= 6 and len({r["det_id"] for r in kept}) == len(kept)
+    assert seen == [(sid, 0, 6), (sid, 6, 6)]
+    lon, lat = (1e6 + 2 * kept[0]["x0"]) / 6378137 * 180 / np.pi, (2 * np.arctan(np.exp((5e6 - 2 * kept[0]["y0"]) / 6378137)) - np.pi / 2) * 180 / np.pi
+    assert kept[0]["ring"][0]["lon"] == pytest.approx(lon) and kept[0]["ring"][0]["lat"] == pytest.approx(lat)
+    out = e.results(sid)
+    assert out["type"] == "FeatureCollection" and {f["properties"]["id"] for f in out["features"]} == {r["det_id"] for r in kept}
+    assert out["features"][0]["properties"]["class_id"] == 5 and out["coverage"]["classes"][0]["class_id"] == 5
+    area = sum((r["x1"] - r["x0"]) * (r["y1"] - r["y0"]) for r in kept)
+    assert out["coverage"]["classes"][0]["area"] <= area
+    log = e.log().collect()
+    assert [(r["session_id"], r["status"], r["tile_done"]) for r in log] == [(sid, "DONE", 6)]
+    assert e.status(sid)["progress"] == 100
+    other = e.register("none", 100, 100)
+    e.configure(other, model="onnx")
+    with pytest.raises(ValueError, match="needs a raster"):
+        e.start(other)
+    assert e.status(other)["status"] == "ERROR" and "raster" in e.status(other)["error_message"]
+
+
+def test_geotiff_faults_and_samples(spark, tmp_path):
+    image = np.array([[[0.4], [0.5], [254.6], [300.0]], [[-3.0], [np.nan], [7.49], [1.5]]], "<f4")
+    geotiff.write_geotiff(str(tmp_path / "a.tif"), image, [10.0, 1.0, 0, 20.0, 0, -1.0], 4326)
+    (tmp_path / "b.tif").write_bytes(b"no image")
+    spark.dataSource.register(geotiff.GeoTiffSource)
+    got = {r["path"][-5:]: r for r in spark.read.format("geotiff").load(str(tmp_path)).collect()}
+    assert list(got["a.tif"]["pixels"]) == [0, 1, 255, 255, 0, 0, 7, 2] and got["a.tif"]["read_ok"]
+    assert not got["b.tif"]["read_ok"] and got["b.tif"]["pixels"] is None
+    # A tie point at a pixel's centre lies half a pixel from the corner.
+    t = geotiff.Tiff(str(tmp_path / "a.tif"))
+    t.tags[34735] = (*t.tags[34735], 1025, 0, 1, 2)
+    assert t.meta()["geo_transform"] == [9.5, 1.0, 0.0, 20.5, 0.0, -1.0]
+    # Byte planes with differences, highest bytes first.
+    planes = image.astype(">f4").reshape(2, 4).view("u1").reshape(2, 4, 4).transpose(0, 2, 1).reshape(2, 16)
+    raw = np.diff(planes.astype(int), axis=1, prepend=0).astype("u1").tobytes()
+    t.predictor, t.decoded, t._at = 3, {}, lambda at, n: raw
+    assert np.array_equal(t.cell(0), image, equal_nan=True)
+
+
+def test_stream_of_own_documents(spark, tmp_path):
+    """Documents of the metrics operator come back as records: arrival times, malformed ones dropped, 60 rows kept."""
+    from tilequilt.streaming import sinks
+    from tilequilt.streaming import telemetry as T
+
+    schema = "session_id long, state string, cpu_percent double, ram_used_mb int, ram_total_mb int, fps double, tiles_done int, tiles_total int, queue_size int"
+    made = spark.createDataFrame([(1, "TILING", 1.0, 1, 2, 0.0, i, 99, 0) for i in range(5)], schema)
+    lines = [r["document"] for r in sinks.documents(made).collect()]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.json").write_text("\n".join([*lines, '{"session_id":1,"state":"TILING"}', "{", '{"session_id":null}']))
+    later = [json.dumps({"session_id": 1, "state": "TILING", "tiles_done": 10 + i, "ts": f"2090-01-01T00:{i // 60:02}:{i % 60:02}"}) for i in range(70)]
+    rows = T.read_folder(spark, str(tmp_path / "in"))
+    rates = T.rates(rows).writeStream.format("memory").queryName("own_rates").outputMode("append").option("checkpointLocation", str(tmp_path / "c1")).start()
+    kept = T.history(rows).writeStream.format("memory").queryName("own_history").outputMode("update").option("checkpointLocation", str(tmp_path / "c2")).start()
+    for q in (rates, kept):
+        q.processAllAvailable()
+    assert spark.table("own_rates").count() == 5 and spark.table("own_rates").where("ts IS NULL").count() == 0
+    (tmp_path / "in/b.json").write_text("\n".join(later))
+    for q in (rates, kept):
+        q.processAllAvailable()
+        q.stop()
+    newest = [r["tiles_done"] for r in spark.table("own_history").collect()][5:]
+    assert newest == list(range(20, 80)) and T.HISTORY == 60
+    got = sorted(spark.table("own_rates").where("tiles_done > 10").collect(), key=lambda r: r["tiles_done"])
+    assert len(got) == 69 and all(r["fps"] == 1 for r in got)
+    taken = []
+
+    class Broken:
+        def open(self, *x):
+            raise OSError("down")
+
+        process = close = open
+
+    class Good:
+        def open(self, *x):
+            return True
+
+        def process(self, row):
+            taken.append(row)
+
+        def close(self, error):
+            pass
+
+    both = sinks.FanOut(Broken(), Good())
+    assert both.open(0, 0)
+    both.process("row")
+    both.close(None)
+    assert taken == ["row"]
+
+
+def test_documents_and_formulas(spark):
+    row = spark.createDataFrame([("x/a.TIFF", True, True, 100, 200, 10, 60, 4096, 1024)], "path string, found boolean, opens boolean, t0 long, t1 long, b0 long, b1 long, total long, free long")
+    c = F.col
+    got = row.select(
+        config.raster_fault(c("path"), c("found"), c("opens")).alias("ok"), config.raster_fault(F.lit("a.png"), c("found"), c("opens")).alias("kind"), config.raster_fault(c("path"), ~c("found"), c("opens")).alias("none"), config.raster_fault(c("path"), c("found"), ~c("opens")).alias("shut"),
+        telemetry.cpu_percent(c("b0"), c("t0"), c("b1"), c("t1")).alias("cpu"), telemetry.cpu_percent(c("b0"), c("t0"), c("b1"), c("t0")).alias("still"), telemetry.ram_used_mb(c("total"), c("free")).alias("ram"),
+    ).first()
+    assert tuple(got) == (None, "Unsupported format: .png (expected .tif/.tiff)", "File not found: x/a.TIFF", "Cannot open file: x/a.TIFF", 50.0, 0.0, 3)

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..staging import staged
 
+#: A conflict graph of up to so many edges (16 bytes each) is settled by one task; a larger one in rounds until it is that small.
+LOCAL_EDGES = 1_000_000
+
 
 def box(prefix: str = "") -> dict[str, Column]:
     return {k: F.col(prefix + k) for k in ("x0", "y0", "x1", "y1")}
@@ -19,19 +24,27 @@ def conflicts(boxes: DataFrame, keys: list[str], cell: float, over: Callable[[di
     """(src, dst): pairs of boxes with equal keys that conflict, src first in order of (conf descending, det_id).
 
     boxes: det_id, conf, x0, y0, x1, y1, keys. Boxes meet in grid cells by an equi-join; a pair counts only in the cell
-    of its intersection's first corner, so no pair comes twice and none is missed.
+    of its intersection's first corner, so no pair comes twice and none is missed. Grids double in size by level; a box
+    belongs to the level whose cells are no smaller than it, where it lies in four cells at most, and is also listed at
+    the coarser levels in use, for the boxes of those; a pair meets at the coarser of its two levels.
     """
+    extent = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(cell))
+    side = boxes.select("det_id", "conf", "x0", "y0", "x1", "y1", *keys).withColumn("level", F.ceil(F.log2(extent / cell)).cast("int"))
+    most = side.agg(F.max("level")).first()[0] or 0
+    side = side.withColumn("at", F.explode(F.sequence(F.col("level"), F.lit(most)))).withColumn("size", F.lit(cell) * F.pow(F.lit(2.0), F.col("at")))
 
     def cells(lo: str, hi: str) -> Column:
-        return F.sequence(F.floor(F.col(lo) / cell).cast("long"), F.floor(F.col(hi) / cell).cast("long"))
+        return F.sequence(F.floor(F.col(lo) / F.col("size")).cast("long"), F.floor(F.col(hi) / F.col("size")).cast("long"))
 
-    side = boxes.select("det_id", "conf", "x0", "y0", "x1", "y1", *keys).withColumn("cx", F.explode(cells("x0", "x1"))).withColumn("cy", F.explode(cells("y0", "y1")))
-    on = [*keys, "cx", "cy"]
-    a = side.select(*on, *(F.col(c).alias(f"a_{c}") for c in ("det_id", "conf", "x0", "y0", "x1", "y1")))
-    b = side.select(*on, *(F.col(c).alias(f"b_{c}") for c in ("det_id", "conf", "x0", "y0", "x1", "y1")))
+    side = side.withColumn("cx", F.explode(cells("x0", "x1"))).withColumn("cy", F.explode(cells("y0", "y1")))
+    on = [*keys, "at", "size", "cx", "cy"]
+    values = ("det_id", "conf", "x0", "y0", "x1", "y1")
+    own = side.where("level = at").select(*on, *(F.col(c).alias(f"a_{c}") for c in values))
+    listed = side.select(*on, (F.col("level") < F.col("at")).alias("finer"), *(F.col(c).alias(f"b_{c}") for c in values))
     before = (F.col("a_conf") > F.col("b_conf")) | ((F.col("a_conf") == F.col("b_conf")) & (F.col("a_det_id") < F.col("b_det_id")))
-    here = (F.floor(F.greatest("a_x0", "b_x0") / cell) == F.col("cx")) & (F.floor(F.greatest("a_y0", "b_y0") / cell) == F.col("cy"))
-    return a.join(b, on).where(before & here & over(box("a_"), box("b_"))).select(F.col("a_det_id").alias("src"), F.col("b_det_id").alias("dst"))
+    here = (F.floor(F.greatest("a_x0", "b_x0") / F.col("size")) == F.col("cx")) & (F.floor(F.greatest("a_y0", "b_y0") / F.col("size")) == F.col("cy"))
+    met = own.join(listed, on).where((before | F.col("finer")) & here & over(box("a_"), box("b_")))
+    return met.select(F.when(before, F.col("a_det_id")).otherwise(F.col("b_det_id")).alias("src"), F.when(before, F.col("b_det_id")).otherwise(F.col("a_det_id")).alias("dst"))
 
 
 def over_half(a: dict[str, Column], b: dict[str, Column]) -> Column:
@@ -44,24 +57,48 @@ def iou_over(threshold: float) -> Callable[[dict, dict], Column]:
     return lambda a, b: G.iou(a, b) > F.lit(threshold).cast("float")
 
 
-def suppressed(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """det_id of all that greedy suppression drops, given directed conflicts.
-
-    A box that nothing undecided precedes is kept and drops all that it conflicts with; both leave the graph, until no
-    conflict is left. Boxes without a conflict never enter. Each round is written to the shared folder.
+def dropped(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """Ids that greedy suppression drops: each box is decided once all that precede it are."""
+    ids, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    u, v = at[: len(src)], at[len(src) :]
+    order = np.argsort(u, kind="stable")
+    nexts, cut = v[order].tolist(), np.searchsorted(u[order], np.arange(len(ids) + 1)).tolist()
+    waits = np.bincount(v, minlength=len(ids)).tolist()
+    gone = bytearray(len(ids))
+    ready = [i for i, n in enumerate(waits) if n == 0]
+    while ready:
+        i = ready.pop()
+        for j in nexts[cut[i] : cut[i + 1]]:
+            if not gone[i]:
+                gone[j] = 1
+            waits[j] -= 1
+            if not waits[j]:
+                ready.append(j)
+    return ids[np.frombuffer(gone, np.uint8) == 1]
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [(b.column("src").to_numpy(), b.column("dst").to_numpy()) for b in batches]
+    none = np.empty(0, np.int64)
+    yield pa.record_batch([pa.array(dropped(*(np.concatenate([none, *x]) for x in (zip(*parts) if parts else ((), ())))))], names=["det_id"])
+
+
+def suppressed(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
+    """det_id of all that greedy suppression drops, given directed conflicts (which have no cycle).
+
+    A box that nothing undecided precedes is kept and drops all that it conflicts with; both leave the graph. Such
+    rounds go on, each written to the shared folder, until no more than local edges are left, which one task settles;
+    most graphs begin below that. Boxes without a conflict never enter.
     """
-    edges, gone = staged(edges), None
-    for _ in range(max_rounds):
-        if edges.isEmpty():
-            break
+    edges, gone = staged(edges.select(F.col("src").cast("long"), F.col("dst").cast("long"))), None
+    while edges.count() > local:
         roots = edges.select("src").distinct().join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_anti")
         out = staged(edges.join(roots, "src", "left_semi").select(F.col("dst").alias("det_id")).distinct())
         gone = out if gone is None else gone.unionByName(out)
         left = edges.join(out.withColumnRenamed("det_id", "dst"), "dst", "left_anti")
         edges = staged(left.join(out.withColumnRenamed("det_id", "src"), "src", "left_anti").join(roots, "src", "left_anti"))
-    else:
-        raise RuntimeError(f"suppression did not settle in {max_rounds} rounds")
-    return gone if gone is not None else edges.select(F.col("dst").alias("det_id"))
+    rest = edges.coalesce(1).mapInArrow(_settled, "det_id long")
+    return rest if gone is None else gone.unionByName(rest)
 
 
 def suppress(boxes: DataFrame, keys: list[str], cell: float = 128, over: Callable[[dict, dict], Column] = over_half) -> DataFrame:

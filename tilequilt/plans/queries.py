@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, mock
 from ..functions import geometry as G
 from ..operators import config, coverage, grid, nms, telemetry, tensor
+from ..staging import shared_dir
+from . import session
 
 SIDE = 1024
 QUERIES: dict = {}
@@ -465,3 +469,79 @@ def features_by_class(spark, sf_dir):
 def report_lines(spark, sf_dir):
     n = boxes(spark, sf_dir).groupBy("session_id").agg(F.count("*").alias("n"))
     return n.select("session_id", telemetry.report_line((F.col("session_id"), 6), (F.col("n"), 12), (F.lit("DONE"), 0)).alias("line"))
+
+
+# --- sessions and results
+
+
+def _geo_boxes(spark, sf_dir):
+    """boxes with a Web Mercator transform by session."""
+    s = F.col("session_id").cast("double")
+    gt = F.array(F.lit(1e6) + s * 1000, F.lit(0.5), F.lit(0.0), F.lit(5e6) + s * 500, F.lit(0.0), F.lit(-0.5))
+    return boxes(spark, sf_dir).withColumn("gt", gt)
+
+
+_LON = "round((1e6 + session_id * 1000 + {0} * 0.5::DOUBLE) / 6378137.0::DOUBLE * (180 / pi()), 8)"
+_LAT = "round((2 * atan(exp((5e6 + session_id * 500 - {0} * 0.5::DOUBLE) / 6378137.0::DOUBLE)) - pi() / 2) * (180 / pi()), 8)"
+
+
+@query(f"""WITH {DET} SELECT det_id, {_LON.format("x0")} AS west, {_LAT.format("y1")} AS south, {_LON.format("x1")} AS east, {_LAT.format("y0")} AS north FROM det""")
+def detections_lonlat(spark, sf_dir):
+    rows = session.mapped(_geo_boxes(spark, sf_dir), F.col("gt"), F.lit(3857))
+    at = F.col("ring")
+    return rows.select("det_id", F.round(at[0]["lon"], 8).alias("west"), F.round(at[2]["lat"], 8).alias("south"), F.round(at[2]["lon"], 8).alias("east"), F.round(at[0]["lat"], 8).alias("north"))
+
+
+@query(f"""WITH {DET}, f AS (SELECT session_id, det_id, '{{"type":"Feature","geometry":{{"type":"Polygon","coordinates":[[['||x0||'.0,'||y0||'.0],['||x1||'.0,'||y0||'.0],['||x1||'.0,'||y1||'.0],['||x0||'.0,'||y1||'.0],['||x0||'.0,'||y0||'.0]]]}},"properties":{{"id":'||det_id||',"class_id":'||class_id||',"confidence":'||conf||',"session_id":'||session_id||',"tile_index":0}}}}' AS feature FROM det WHERE conf >= 99)
+  SELECT session_id, '{{"type":"FeatureCollection","features":[' || string_agg(feature, ',' ORDER BY feature) || ']}}' AS document FROM f GROUP BY session_id""")
+def feature_collections(spark, sf_dir):
+    """The best detections of each session as one document."""
+    rows = boxes(spark, sf_dir).where("conf >= 99").withColumn("tile_index", F.lit(0))
+    rows = rows.withColumn("ring", G.ring(G.corners(*(F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1"))), "lon", "lat"))
+    return session.feature_collection(rows.select("session_id", session.feature().alias("feature")))
+
+
+_CUT = "CAST(floor({0} * 100 + 1e-6) / 100 AS DOUBLE)"
+
+
+@query(f"""WITH {_AREAS}, p AS (SELECT session_id, class_id, area, {_CUT.format(f"(area * 100.0::DOUBLE / {SIDE * SIDE})")} AS percent FROM areas WHERE area > 0)
+  SELECT session_id, '{{"classes":[' || string_agg('{{"class_id":' || class_id || ',"area":' || area || ',"percent":' || percent || '}}', ',' ORDER BY area DESC, class_id) || '],"unclassified_percent":'
+  || {_CUT.format(f"greatest(0.0::DOUBLE, 100.0::DOUBLE - sum(area) * 100.0::DOUBLE / {SIDE * SIDE})")} || '}}' AS document FROM p GROUP BY session_id""")
+def coverage_documents(spark, sf_dir):
+    return session.coverage_document(_areas(spark, sf_dir), SIDE * SIDE)
+
+
+@query("""WITH s AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'DONE' WHEN 'O' THEN 'PROCESSING' ELSE 'ERROR' END AS status, CAST(o_orderkey % 97 AS INTEGER) AS total, CAST(o_orderkey % 97 * (o_orderkey % 5) // 4 AS INTEGER) AS done FROM orders)
+  SELECT id AS session_id, '{"session_id":' || id || ',"filename":"scan ' || id || '.tif","status":"' || status || '","tile_total":' || total || ',"tile_done":' || done || ',"progress":' || CASE WHEN total > 0 THEN done * 100 // total ELSE 0 END
+  || CASE WHEN status = 'ERROR' THEN ',"error_message":"Cancelled by user."' ELSE '' END
+  || CASE WHEN id % 3 = 0 THEN ',"footprint":{"type":"Feature","properties":{"kind":"image_footprint"},"geometry":{"type":"Polygon","coordinates":[[[' || id % 90 || '.0,0.0],[' || id % 90 + 1 || '.0,0.0],[' || id % 90 + 1 || '.0,1.0],[' || id % 90 || '.0,1.0],[' || id % 90 || '.0,0.0]]]}}' ELSE '' END || '}' AS document FROM s""")
+def status_documents(spark, sf_dir):
+    k = F.col("o_orderkey")
+    status = F.when(F.col("o_orderstatus") == "F", "DONE").when(F.col("o_orderstatus") == "O", "PROCESSING").otherwise("ERROR")
+    x = (k % 90).cast("double")
+    ring = G.ring(G.corners(x, F.lit(0.0), x + 1, F.lit(1.0)), "lon", "lat")
+    outline = F.when(k % 3 == 0, ring).otherwise(F.slice(ring, 1, 2))
+    total, done = (k % 97).cast("int"), F.floor(k % 97 * (k % 5) / 4).cast("int")
+    text = config.status_document(k, F.concat(F.lit("scan "), k.cast("string"), F.lit(".tif")), status, done, total, F.when(status == "ERROR", "Cancelled by user.").otherwise(""), outline)
+    return table(spark, sf_dir, "orders").select(k.alias("session_id"), text.alias("document"))
+
+
+@query(f"""WITH {DET} SELECT det_id, class_id, 'POLYGON((' || x0 || '.00000000 ' || y0 || '.00000000,' || x1 || '.00000000 ' || y0 || '.00000000,' || x1 || '.00000000 ' || y1 || '.00000000,' || x0 || '.00000000 ' || y1 || '.00000000,' || x0 || '.00000000 ' || y0 || '.00000000))' AS wkt
+  FROM det WHERE session_id = 3 AND det_id % 7 <> 0""")
+def stored_scan(spark, sf_dir):
+    """Detections appended to a folder a session, those without a ring left out; then one session's scan."""
+    rows = boxes(spark, sf_dir)
+    ring = G.ring(G.corners(*(F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1"))), "lon", "lat")
+    path = f"{shared_dir(spark)}/detections-{uuid.uuid4().hex}"
+    session.save_detections(rows.withColumn("ring", F.when(F.col("det_id") % 7 == 0, F.slice(ring, 1, 3)).otherwise(ring)), path)
+    return session.load_detections(spark, path, 3).select("det_id", "class_id", "wkt")
+
+
+@query(f"""WITH {DET}, f AS (SELECT session_id, class_id, det_id, conf, x0 * 0.25::DOUBLE AS x0, y0 * 0.25::DOUBLE AS y0, x1 * 0.25::DOUBLE AS x1, y1 * 0.25::DOUBLE AS y1 FROM det),
+  i AS (SELECT a.det_id AS src, b.det_id AS dst, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS inter, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS sides
+  FROM f a JOIN f b ON a.session_id = b.session_id AND a.class_id = b.class_id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1 AND (a.conf > b.conf OR a.conf = b.conf AND a.det_id < b.det_id))
+  SELECT src, dst FROM i WHERE CAST(inter / (sides - inter) AS FLOAT) > CAST(0.45 AS FLOAT)""")
+def iou_float_pairs(spark, sf_dir):
+    """Conflicts by the IoU of fractional boxes in single precision, at the threshold of a tile."""
+    b = boxes(spark, sf_dir).withColumns({c: F.col(c) * 0.25 for c in ("x0", "y0", "x1", "y1")})
+    return nms.conflicts(b, ["session_id", "class_id"], 16, nms.iou_over(fixed.TILE_IOU))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import threading
 from collections.abc import Callable
 
@@ -10,7 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, mock
 from ..functions import geometry as G
-from ..operators import grid, nms
+from ..operators import config, coverage, grid, inference, nms
+from ..sources.geotiff import GeoTiffSource
+from ..staging import staged
+
+#: Bits of a detection's id for its place in its tile, and for that and its tile: the session is above.
+PLACE_BITS, TILE_BITS = 20, 46
 
 
 class StateMachine:
@@ -55,11 +61,51 @@ def mock_run(images: DataFrame, tile: int = 512, overlap: int = 64, conf: float
     """
     tiles = grid.tile_grid(images, tile, overlap).select("session_id", "tile_index", "x", "y", F.col("tile_w").alias("width"), F.col("tile_h").alias("height"))
     found = model(tiles.withColumnsRenamed({"x": "tx", "y": "ty"})).where(F.col("confidence") >= F.lit(conf).cast("float"))
+    return survivors(found, tile)
+
+
+def survivors(found: DataFrame, tile: int) -> DataFrame:
+    """What suppression keeps of tile detections (session_id, tile_index, tx, ty, ordinal, class_id, confidence, x, y, w, h)."""
     ring = G.box_ring(F.col("tx"), F.col("ty"), F.col("x"), F.col("y"), F.col("w"), F.col("h"))
-    boxes = found.withColumn("b", G.bounds(ring)).select((F.col("session_id") * (1 << 40) + F.col("tile_index").cast("long") * 1024 + F.col("ordinal")).alias("det_id"), "session_id", "class_id", F.col("confidence").alias("conf"), "tile_index", "b.*")
+    boxes = found.withColumn("b", G.bounds(ring)).select(det_id(F.col("session_id"), F.col("tile_index"), F.col("ordinal")).alias("det_id"), "session_id", "class_id", F.col("confidence").alias("conf"), "tile_index", "b.*")
     return nms.suppress(boxes, ["session_id", "class_id"], tile / 2)
 
 
+def det_id(session_id, tile_index, ordinal):
+    """One number for a detection: 2**20 a tile, 2**26 tiles a session."""
+    return session_id.cast("long") * (1 << TILE_BITS) + tile_index.cast("long") * (1 << PLACE_BITS) + ordinal
+
+
+def mapped(boxes: DataFrame, gt, epsg) -> DataFrame:
+    """boxes with ring: their corners in longitude and latitude, under a transform and a CRS (columns)."""
+    points = []
+    for x, y in G.corners(*(F.col(c) for c in ("x0", "y0", "x1", "y1"))):
+        at = G.to_wgs84(epsg, *G.affine(gt, x, y))
+        points.append((at["lon"], at["lat"]))
+    return boxes.withColumn("ring", G.ring(points, "lon", "lat"))
+
+
+def feature():
+    """A detection's GeoJSON feature, of columns det_id, class_id, conf, session_id, tile_index and ring."""
+    coords = F.transform(G.closed(F.col("ring")), lambda p: F.array(p["lon"].cast("double"), p["lat"].cast("double")))
+    geometry = F.struct(F.lit("Polygon").alias("type"), F.array(coords).alias("coordinates"))
+    properties = F.struct(F.col("det_id").alias("id"), "class_id", F.col("conf").alias("confidence"), "session_id", "tile_index")
+    return F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), properties.alias("properties")))
+
+
+def coverage_document(areas: DataFrame, footprint) -> DataFrame:
+    """(session_id, document): classes by area, largest first, with percent to two decimals (cut), and what none covers."""
+    some = coverage.coverage(areas, footprint)
+
+    def cut(x):
+        return F.floor(x * 100 + F.lit(1e-6)) / 100
+
+    part = F.struct(F.col("area"), (-F.col("class_id")).alias("order"), cut(F.col("percent")).alias("percent"), F.col("class_id"))
+    by = some.groupBy("session_id").agg(F.sort_array(F.collect_list(part), asc=False).alias("parts"), F.max(cut(F.col("unclassified_percent"))).alias("rest"))
+    classes = F.transform("parts", lambda p: F.struct(p["class_id"].alias("class_id"), p["area"].alias("area"), p["percent"].alias("percent")))
+    return by.select("session_id", F.to_json(F.struct(classes.alias("classes"), F.col("rest").alias("unclassified_percent"))).alias("document"))
+
+
 def save_detections(rows: DataFrame, path: str) -> None:
     """Append detections with rings of four points or more, a folder a session; a failed job leaves nothing."""
     rows.where(F.size("ring") >= 4).withColumns({"wkt": G.wkt(F.col("ring")), "created_at": F.current_timestamp()}).write.mode("append").partitionBy("session_id").parquet(path)
@@ -81,16 +127,42 @@ def current_sessions(log: DataFrame) -> DataFrame:
 
 
 class Engine:
-    """Register, configure, start, cancel and look at sessions."""
+    """Register, configure, start, cancel and look at sessions.
 
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.sessions, self._next = spark, {}, 1
+    store: a folder that detections and the status log are appended to; without it results live in the session only.
+    models: name of a model -> a function that makes it on an executor (see inference.detections); names without one
+    are taken from the configuration's model_path, an ONNX file. Observers of on_progress get (session, done, total).
+    """
 
-    def register(self, filename: str, width: int, height: int) -> int:
+    def __init__(self, spark: SparkSession, store: str | None = None, models: dict[str, Callable] | None = None) -> None:
+        self.spark, self.sessions, self._next, self.store, self.models = spark, {}, 1, store, models or {}
+        self.on_progress: list[Callable[[int, int, int], None]] = []
+
+    def register(self, filename: str, width: int | None = None, height: int | None = None) -> int:
+        """A session of an image of that size or, without a size, of the raster at filename."""
+        meta = {"width": width, "height": height, "geo_transform": None, "epsg": None}
+        if width is None:
+            self.spark.dataSource.register(GeoTiffSource)
+            row = self.spark.read.format("geotiff").option("mode", "meta").load(filename).select("*", config.raster_fault(F.lit(filename), F.lit(True), F.col("error").isNull()).alias("fault")).first()
+            if row["fault"]:
+                raise ValueError(row["fault"])
+            meta = row.asDict()
         sid, self._next = self._next, self._next + 1
-        self.sessions[sid] = {"filename": filename, "size": (width, height), "machine": StateMachine(), "config": dict(fixed.CONFIG), "error": "", "result": None, "done": 0, "total": 0}
+        self.sessions[sid] = {"filename": filename, "meta": meta, "raster": width is None, "machine": StateMachine(), "config": dict(fixed.CONFIG), "error": "", "result": None, "done": 0, "total": 0}
+        self._log(sid)
         return sid
 
+    def _log(self, sid: int) -> None:
+        """Append the session's status to the log."""
+        if self.store:
+            s = self.sessions[sid]
+            row = self.spark.createDataFrame([(sid, s["filename"], s["machine"].state, s["done"], s["total"], s["error"])], "session_id long, filename string, status string, tile_done int, tile_total int, error_message string")
+            row.withColumn("ts", F.current_timestamp()).write.mode("append").parquet(f"{self.store}/sessions")
+
+    def log(self) -> DataFrame:
+        """Newest status and progress of every session in the store."""
+        return current_sessions(self.spark.read.parquet(f"{self.store}/sessions"))
+
     def configure(self, sid: int, **changes) -> None:
         c = self.sessions[sid]["config"] | changes
         faults = ((0 < c["tile_size"] <= 4096, "tile_size must be in range 1..4096"), (0 <= c["overlap"] < c["tile_size"], "overlap must be >= 0 and smaller than tile_size"), (0 <= c["max_workers"] <= 64, "max_workers must be in range 0..64"), (0 <= c["conf_thresh"] <= 1, "conf_thresh must be in range 0..1"))
@@ -99,43 +171,96 @@ class Engine:
                 raise ValueError(text)
         self.sessions[sid]["config"] = c
 
+    def _found(self, sid: int) -> DataFrame:
+        """Tile detections of a session by its model."""
+        s = self.sessions[sid]
+        c, m = s["config"], s["meta"]
+        if c["model"] == "mock":
+            images = self.spark.createDataFrame([(sid, m["width"], m["height"])], "session_id long, width int, height int")
+            tiles = grid.tile_grid(images, c["tile_size"], c["overlap"]).select("session_id", "tile_index", F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("tile_w").alias("width"), F.col("tile_h").alias("height"))
+            return mock.detections(tiles)
+        if not s["raster"]:
+            raise ValueError(f"model {c['model']} needs a raster")
+        tiles = self.spark.read.format("geotiff").option("tile", c["tile_size"]).option("overlap", c["overlap"]).load(s["filename"]).where("read_ok")
+        tiles = tiles.select(F.lit(sid).cast("long").alias("session_id"), "tile_index", F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("tile_w").alias("width"), F.col("tile_h").alias("height"), "band_count", "pixels")
+        keys = ["session_id", "tile_index", "tx", "ty"]
+        if c["model"] in self.models:
+            return inference.detections(tiles, c["model"], self.models[c["model"]], c["conf_thresh"], keys)
+        return inference.onnx_detections(tiles, c["model"], c["model_path"], c["conf_thresh"], keys)
+
+    def _progress(self, sid: int, done: int) -> None:
+        self.sessions[sid]["done"] = done
+        for f in self.on_progress:
+            f(sid, done, self.sessions[sid]["total"])
+
+    def _go(self, sid: int, *steps: str) -> bool:
+        """Take steps; False once the session has been cancelled meanwhile."""
+        ok = all(self.sessions[sid]["machine"].transition(step) for step in steps)
+        self._log(sid)
+        return ok
+
     def start(self, sid: int) -> DataFrame:
-        """Run the mock model over a session's grid; a finished session goes back to IDLE first."""
+        """Run the configured model over a session's tiles: detections that survive, with their rings in longitude and
+        latitude if the image has a transform; they are stored if there is a store. A finished session goes back to
+        IDLE first. Tiles count as done once their detections are written to the shared folder."""
         s = self.sessions[sid]
         m, c = s["machine"], s["config"]
         if m.state == "DONE":
             m.transition("IDLE")
         if m.state != "IDLE":
             raise RuntimeError("Cannot start. Check session state.")
-        if c["model"] != "mock":
+        if c["model"] != "mock" and c["model"] not in inference.BACKENDS:
             raise ValueError(f"model {c['model']} is not registered")
+        stride = c["tile_size"] - c["overlap"]
+        s["total"], s["error"] = -(-s["meta"]["width"] // stride) * -(-s["meta"]["height"] // stride), ""
         try:
             self.spark.addTag(f"session-{sid}")
-            for step in ("LOADING", "TILING"):
-                m.transition(step)
-            images = self.spark.createDataFrame([(sid, *s["size"])], "session_id long, width int, height int")
-            stride = c["tile_size"] - c["overlap"]
-            s["total"] = -(-s["size"][0] // stride) * -(-s["size"][1] // stride)
-            for step in ("PROCESSING", "STITCHING"):
-                m.transition(step)
-            s["result"] = mock_run(images, c["tile_size"], c["overlap"], c["conf_thresh"])
-            s["done"] = s["total"]
-            if m.state == "STITCHING":
-                m.transition("SAVING")
-                m.transition("DONE")
+            self._go(sid, "LOADING", "TILING")
+            self._progress(sid, 0)
+            self._go(sid, "PROCESSING")
+            found = staged(self._found(sid).where(F.col("confidence") >= F.lit(c["conf_thresh"]).cast("float")))
+            self._progress(sid, s["total"])
+            self._go(sid, "STITCHING")
+            kept = survivors(found, c["tile_size"])
+            if s["meta"]["geo_transform"]:
+                kept = mapped(kept, F.array(*map(F.lit, s["meta"]["geo_transform"])), F.lit(s["meta"]["epsg"]).cast("int"))
+            else:
+                kept = kept.withColumn("ring", G.ring(G.corners(*(F.col(x).cast("double") for x in ("x0", "y0", "x1", "y1"))), "lon", "lat"))
+            s["result"] = staged(kept)
+            if self._go(sid, "SAVING"):
+                if self.store:
+                    save_detections(s["result"], f"{self.store}/detections")
+                self._go(sid, "DONE")
         except Exception as e:
-            s["error"] = str(e)
+            s["error"] = s["error"] or str(e)
             m.transition("ERROR")
+            self._log(sid)
             raise
         finally:
             self.spark.removeTag(f"session-{sid}")
         return s["result"]
 
+    def results(self, sid: int) -> dict:
+        """The session's FeatureCollection (features [] if there are none) and its coverage, parsed from their documents."""
+        s = self.sessions[sid]
+        out = {"type": "FeatureCollection", "features": [], "coverage": None}
+        if s["result"] is None:
+            return out
+        rows = load_detections(self.spark, f"{self.store}/detections", sid).join(s["result"].select("det_id"), "det_id", "left_semi") if self.store else s["result"]
+        found = feature_collection(rows.select("session_id", feature().alias("feature"))).first()
+        if found:
+            out |= json.loads(found["document"])
+        size = s["meta"]["width"], s["meta"]["height"]
+        areas = coverage.class_areas(coverage.clip(s["result"].select("session_id", "class_id", "conf", "x0", "y0", "x1", "y1"), *size))
+        cover = coverage_document(areas, size[0] * size[1]).first()
+        return out | {"coverage": json.loads(cover["document"]) if cover else None}
+
     def cancel(self, sid: int) -> None:
         s = self.sessions[sid]
         self.spark.interruptTag(f"session-{sid}")
         s["error"] = "Cancelled by user."
         s["machine"].force("ERROR")
+        self._log(sid)
 
     def status(self, sid: int) -> dict:
         """An unknown session raises KeyError."""

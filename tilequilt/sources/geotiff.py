@@ -17,6 +17,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 META = "path string, width int, height int, band_count int, epsg int, is_geographic boolean, geo_transform array<double>, error string"
 TILES = "path string, width int, height int, band_count int, tile_row int, tile_col int, tile_index int, x int, y int, tile_w int, tile_h int, pixels binary, read_ok boolean"
+#: Bytes of decoded cells that a reader remembers: tiles beside each other share strips.
+CACHE_BYTES = 64 << 20
 #: Bytes of each TIFF field type.
 _SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 11: 4, 12: 8, 16: 8, 17: 8}
 _CODE = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q", 17: "q"}
@@ -74,6 +76,7 @@ class Tiff:
         bits, form = self.tags.get(258, (1,))[0], self.tags.get(339, (1,))[0]
         self.dtype = np.dtype(f"{self.e}{({1: 'u', 2: 'i', 3: 'f'}[form])}{bits // 8}")
         self.tiled = 322 in self.tags
+        self.decoded, self.held = {}, 0
         self.cell_w, self.cell_h = (self.tags[322][0], self.tags[323][0]) if self.tiled else (self.width, min(self.height, self.tags.get(278, (self.height,))[0]))
         self.offsets, self.counts = (self.tags[324], self.tags[325]) if self.tiled else (self.tags[273], self.tags[279])
 
@@ -90,6 +93,8 @@ class Tiff:
         epsg = keys.get(3072) or keys.get(2048)
         if 33550 in self.tags and 33922 in self.tags:
             (sx, sy, _), (i, j, _, x, y, _) = self.tags[33550][:3], self.tags[33922][:6]
+            if keys.get(1025) == 2:  # the tie point is a pixel's centre
+                i, j = i + 0.5, j + 0.5
             gt = [x - i * sx, sx, 0.0, y + j * sy, 0.0, -sy]
         elif 34264 in self.tags:
             m = self.tags[34264]
@@ -99,7 +104,16 @@ class Tiff:
         return {"width": self.width, "height": self.height, "band_count": self.bands, "epsg": epsg, "is_geographic": keys.get(1024) == 2, "geo_transform": [float(v) for v in gt]}
 
     def cell(self, i: int) -> np.ndarray:
-        """Cell i of the file as [rows, columns, bands]."""
+        """Cell i of the file as [rows, columns, bands]; decoded cells are remembered up to CACHE_BYTES."""
+        if i not in self.decoded:
+            found = self._decoded(i)
+            self.held += found.nbytes
+            if self.held > CACHE_BYTES:
+                self.decoded, self.held = {}, found.nbytes
+            self.decoded[i] = found
+        return self.decoded[i]
+
+    def _decoded(self, i: int) -> np.ndarray:
         raw = unpacked(self._at(self.offsets[i], self.counts[i]), self.compression)
         bands = self.bands if self.planar == 1 else 1
         rows = self.cell_h
@@ -107,10 +121,15 @@ class Tiff:
             down = -(-self.height // self.cell_h)
             rows = min(self.cell_h, self.height - (i % down) * self.cell_h)
         data = np.frombuffer(raw, self.dtype, rows * self.cell_w * bands).reshape(rows, self.cell_w, bands)
+        if self.predictor == 3:  # differences of the rows' bytes, which are dealt out by significance, highest first
+            size = self.dtype.itemsize
+            planes = np.cumsum(np.frombuffer(raw, np.uint8, rows * self.cell_w * bands * size).reshape(rows, -1, bands), axis=1, dtype=np.uint8)
+            whole = planes.reshape(rows, size, self.cell_w * bands).transpose(0, 2, 1)
+            return np.ascontiguousarray(whole).view(self.dtype.newbyteorder(">")).reshape(rows, self.cell_w, bands)
         return np.cumsum(data, axis=1, dtype=self.dtype) if self.predictor == 2 else data
 
     def window(self, x: int, y: int, w: int, h: int) -> np.ndarray:
-        """Bytes [h, w, bands] of a window; wider samples are cut to 0..255."""
+        """Bytes [h, w, bands] of a window; wider samples are cut to 0..255, fractions rounded."""
         if x < 0 or y < 0 or x + w > self.width or y + h > self.height or w <= 0 or h <= 0:
             raise ValueError("window outside the image")
         across, down = -(-self.width // self.cell_w), -(-self.height // self.cell_h)
@@ -121,7 +140,10 @@ class Tiff:
                     cell = self.cell(p * across * down + r * across + c)
                     top, left = r * self.cell_h, c * self.cell_w
                     y0, y1, x0, x1 = max(y, top), min(y + h, top + len(cell)), max(x, left), min(x + w, left + self.cell_w)
-                    part = np.clip(cell[y0 - top : y1 - top, x0 - left : x1 - left], 0, 255).astype(np.uint8)
+                    part = cell[y0 - top : y1 - top, x0 - left : x1 - left]
+                    if self.dtype.kind == "f":  # to the nearest whole number, halves up; no number becomes 0
+                        part = np.floor(np.nan_to_num(part.astype(np.float64)) + 0.5)
+                    part = np.clip(part, 0, 255).astype(np.uint8)
                     out[y0 - y : y1 - y, x0 - x : x1 - x, slice(None) if self.planar == 1 else slice(p, p + 1)] = part
         return out
 
@@ -231,8 +253,13 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[Rows]:
         if self.mode == "meta":
             return [Rows(p) for p in self.paths]
-        stride = self.tile - self.overlap
-        return [Rows(p, r, r + 1) for p in self.paths for r in range(-(-Tiff(p).height // stride))]
+        out, stride = [], self.tile - self.overlap
+        for p in self.paths:
+            try:
+                out += [Rows(p, r, r + 1) for r in range(-(-Tiff(p).height // stride))]
+            except Exception:  # the file is reported by the one row of its one partition
+                out.append(Rows(p, 0, 0))
+        return out
 
     def read(self, part: Rows) -> Iterator[tuple]:
         if part.first < 0:
@@ -241,6 +268,9 @@ class _Reader(DataSourceReader):
             except Exception as e:  # a file that can't be read is a row that says so
                 yield (part.path, None, None, None, None, None, None, f"Cannot open file: {part.path} ({e})")
             return
+        if part.first == part.last:
+            yield (part.path, *[None] * 11, False)
+            return
         image = Tiff(part.path)
         stride = self.tile - self.overlap
         cols = -(-image.width // stride)

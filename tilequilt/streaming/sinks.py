@@ -55,11 +55,35 @@ class Posts:
         pass
 
 
+class FanOut:
+    """A foreach writer that hands each row to several writers; what one of them fails at does not keep it from the others."""
+
+    def __init__(self, *writers) -> None:
+        self.writers = writers
+
+    def _each(self, call) -> None:
+        for w in self.writers:
+            try:
+                call(w)
+            except Exception as e:
+                logging.getLogger(__name__).warning("%s failed: %s", type(w).__name__, e)
+
+    def open(self, partition_id: int, epoch_id: int) -> bool:
+        self._each(lambda w: w.open(partition_id, epoch_id))
+        return True
+
+    def process(self, row: Row) -> None:
+        self._each(lambda w: w.process(row))
+
+    def close(self, error: Exception | None) -> None:
+        self._each(lambda w: w.close(error))
+
+
 def documents(rows: DataFrame) -> DataFrame:
     """(document) of each metrics row."""
     return rows.select(metrics_document().alias("document"))
 
 
-def send(rows: DataFrame, writer: Datagrams | Posts, checkpoint: str, every: str = "1 second"):
+def send(rows: DataFrame, writer: Datagrams | Posts | FanOut, checkpoint: str, every: str = "1 second"):
     """Start a query that hands the documents of a stream of metrics rows to a writer."""
     return documents(rows).writeStream.foreach(writer).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from io import StringIO
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +16,9 @@ HISTORY = 60
 
 
 def parsed(lines: DataFrame) -> DataFrame:
-    """Metrics rows of JSON lines (value); malformed ones go."""
+    """Metrics rows of JSON lines (value); malformed ones go. A record without a time has that of its arrival."""
     rows = lines.select(F.from_json("value", SCHEMA, {"mode": "PERMISSIVE"}).alias("m")).select("m.*")
-    return rows.where("session_id IS NOT NULL AND state IS NOT NULL")
+    return rows.where("session_id IS NOT NULL AND state IS NOT NULL").withColumn("ts", F.coalesce("ts", F.current_timestamp()))
 
 
 def read_folder(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
@@ -41,8 +42,26 @@ def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
 
 
 def rates(rows: DataFrame) -> DataFrame:
-    """(session_id, ts, tiles_done, fps, n): a stream of rates, stateful by session."""
-    return rows.groupBy("session_id").applyInPandasWithState(_step, "session_id long, ts timestamp, tiles_done int, fps double, n long", "done int, last double, seen long", "append", GroupStateTimeout.NoTimeout)
+    """(session_id, ts, tiles_done, fps, n): a stream of rates, stateful by session. Rows without tiles_done or time go."""
+    return _counted(rows).groupBy("session_id").applyInPandasWithState(_step, "session_id long, ts timestamp, tiles_done int, fps double, n long", "done int, last double, seen long", "append", GroupStateTimeout.NoTimeout)
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    return rows.where("session_id IS NOT NULL AND tiles_done IS NOT NULL AND ts IS NOT NULL")
+
+
+def _kept(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The last HISTORY rows of a session by time, from those kept in the state and the new ones."""
+    old = pd.read_json(StringIO(state.get[0]), orient="split", convert_dates=["ts"]) if state.exists else None
+    rows = pd.concat([*([old] if old is not None else []), *(b[["ts", "state", "tiles_done"]] for b in batches)]).sort_values("ts", kind="stable").tail(HISTORY)
+    state.update((rows.to_json(orient="split", index=False, date_unit="us"),))
+    yield rows.assign(session_id=key[0], n=range(1, len(rows) + 1))[["session_id", "n", "ts", "state", "tiles_done"]]
+
+
+def history(rows: DataFrame) -> DataFrame:
+    """(session_id, n, ts, state, tiles_done): after each batch the newest HISTORY rows of every session it touched,
+    oldest first; the state holds no more than those."""
+    return _counted(rows).groupBy("session_id").applyInPandasWithState(_kept, "session_id long, n int, ts timestamp, state string, tiles_done int", "rows string", "update", GroupStateTimeout.NoTimeout)
 
 
 def latest(rows: DataFrame) -> DataFrame:
