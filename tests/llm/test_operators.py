@@ -54,12 +54,25 @@ def test_odd_rows_and_empty_table(odd, name):
     assert apply(name, odd.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES])
-def test_stages_on_odd_rows(spark, odd, stage):
-    out = stage(spark, odd, SF)
-    assert out.count() >= 0
-    assert out.columns == odd.columns or stage is corpus_pipeline.byte_bpe
-    assert stage(spark, odd.limit(0), SF).count() == 0
+def test_stages_on_odd_rows(spark, odd):
+    """What each stage makes of nulls, empty texts, repeated rows and a text of 40,000 words."""
+    language, line, near, mix, encode = (f for _, f in corpus_pipeline.STAGES)
+    out = {f: f(spark, odd, SF) for f in (language, line, near, mix)}
+    assert all(df.columns == odd.columns and f(spark, odd.limit(0), SF).count() == 0 for f, df in out.items())
+    given = [(r[0], r[1]) for r in ODD]
+
+    def rows(f):
+        return sorted(((r.doc_id, r.text) for r in out[f].collect()), key=repr)
+
+    assert rows(language) == sorted((r for r in given if r[1] and re.search(r"[^\W\d_]", r[1])), key=repr)
+    assert rows(line) == sorted(given, key=repr)  # no line of a document equals one of another
+    assert rows(near) == sorted([given[0], (2, None), (None, "é 🎉 x"), given[5]], key=repr)  # texts without a word are copies
+    # Sources s, t and null hold 40,018, 0 and 3 words; of 150 % null takes 6 at most, t nothing, s the rest.
+    words = [len(re.findall(mixing.WORD, t)) for _, t in rows(mix)]
+    assert sum(words) == 60026 + 6 and {len(t.split()) for i, t in rows(mix) if i is None} == {3}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    assert sorted(((r.doc_id, list(r.ids)) for r in encode(spark, odd, SF).collect()), key=repr) == sorted(((i, enc.encode_ordinary(t or "")) for i, t in given), key=repr)
+    assert encode(spark, odd.limit(0), SF).count() == 0
 
 
 def test_media_round_trip(docs, texts):
@@ -492,8 +505,40 @@ def test_byte_bpe(docs, texts):
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
-def test_pipeline_runs(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    first = corpus_pipeline.language_id(spark, docs, SF)
-    assert first.columns == docs.columns and first.count() >= docs.where("text rlike '[A-Za-z]'").count() * 0.99
-    assert corpus_pipeline.run(spark, SF).count() > 0
+def test_inference_like_training(spark):
+    """Position probabilities of the inference code are those of the training code's forward pass."""
+    net, rng = langid.Network(["a", "b", "c"], 5), np.random.default_rng(1)
+    x = rng.integers(0, 256, (7, langid.WINDOW)).astype(np.uint8)
+    forth, back = net._run(x.T, "f")[0], net._run(x.T[::-1], "b")[0][::-1]
+    logit = np.concatenate([forth, back], axis=2) @ net.w["o"] + net.w["p"]
+    want = np.exp(logit) / np.exp(logit).sum(axis=2, keepdims=True)
+    assert np.allclose(langid.positions(net.frozen(), x), want.transpose(0, 2, 1), atol=1e-5)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Each stage on all that the stage before it kept; the last one's rows are run()'s."""
+    docs, kept = spark.read.parquet(f"{SF}/documents.parquet"), []
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, SF).write.parquet(str(tmp_path / str(i)))
+        kept.append((docs, docs := spark.read.parquet(str(tmp_path / str(i)))))
+    (given, first), (_, lines), (_, near), (_, mix), (_, tokens) = kept
+    net = langid.train(given)
+    known = {r.doc_id for r in langid.predict_languages(given, net).collect() if r.lang_pred != "und" and r.score >= langid.LEAST_SCORE}
+    assert {r.doc_id for r in first.collect()} == known and len(known) > 0.95 * given.count()
+    before = {r.doc_id: r.text for r in first.collect()}
+    gone = brute_lines(before)
+    texts = {i: "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone.get(i, [])) for i, t in before.items()}
+    assert {r.doc_id: r.text for r in lines.collect()} == texts
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    classed = classes(sorted(sets), lambda a, b: similar(sets[a], sets[b]))
+    assert sorted(r.doc_id for r in near.collect()) == sorted(set(classed.values()))
+    taken = {r.doc_id: r.taken for r in mixing.mix_plan(near).collect()}
+    words: dict = {}
+    for r in mix.collect():
+        words[r.doc_id] = words.get(r.doc_id, 0) + len(re.findall(mixing.WORD, r.text))
+        assert texts[r.doc_id].startswith(r.text) and r.n_chars == len(r.text)
+    assert words == {i: n for i, n in taken.items() if n}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    want = sorted((r.doc_id, enc.encode_ordinary(r.text)) for r in mix.collect())
+    assert sorted((r.doc_id, list(r.ids)) for r in tokens.collect()) == want
+    assert sorted((r.doc_id, list(r.ids)) for r in corpus_pipeline.run(spark, SF).collect()) == want
