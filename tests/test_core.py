@@ -317,7 +317,14 @@ def test_engine_on_a_raster(spark, tmp_path):
     assert out["coverage"]["classes"][0]["area"] <= area
     log = e.log().collect()
     assert [(r["session_id"], r["status"], r["tile_done"]) for r in log] == [(sid, "DONE", 6)]
+    e.configure(sid, conf_thresh=0.95)
+    assert e.start(sid).count() == 0 and e.results(sid) == {"type": "FeatureCollection", "features": [], "coverage": None}
     assert e.status(sid)["progress"] == 100
+    assert e.wait(sid, 0.1)["status"] == "DONE" and e.health() == {"status": "ok"}
+    assert e.telemetry() == {"session_id": 0, "state": "IDLE", "tiles_done": 0, "tiles_total": 0, "queue_size": 0}
+    with (tmp_path / "a.tif").open("rb") as body:
+        sent = e.upload(body, "../my scan.tif")
+    assert e.status(sent)["filename"] == "../my scan.tif" and e.sessions[sent]["meta"]["width"] == 150
     other = e.register("none", 100, 100)
     e.configure(other, model="onnx")
     with pytest.raises(ValueError, match="needs a raster"):
@@ -402,3 +409,50 @@ def test_documents_and_formulas(spark):
         telemetry.cpu_percent(c("b0"), c("t0"), c("b1"), c("t1")).alias("cpu"), telemetry.cpu_percent(c("b0"), c("t0"), c("b1"), c("t0")).alias("still"), telemetry.ram_used_mb(c("total"), c("free")).alias("ram"),
     ).first()
     assert tuple(got) == (None, "Unsupported format: .png (expected .tif/.tiff)", "File not found: x/a.TIFF", "Cannot open file: x/a.TIFF", 50.0, 0.0, 3)
+
+
+def test_live_sources(spark):
+    """Datagrams and posts become rows; a post that is too large, elsewhere or no JSON is refused."""
+    import socket
+    import time
+    import urllib.error
+    import urllib.request
+
+    from tilequilt.sources import live
+    from tilequilt.streaming import telemetry as T
+
+    line = json.dumps({"session_id": 1, "state": "TILING", "tiles_done": 3})
+    for kind in (live.DatagramSource, live.HttpSource):
+        spark.dataSource.register(kind)
+        with socket.socket(socket.AF_INET, socket.SOCK_DGRAM if kind is live.DatagramSource else socket.SOCK_STREAM) as free:
+            free.bind(("127.0.0.1", 0))
+            port = free.getsockname()[1]
+        rows = T.parsed(spark.readStream.format(kind.name()).option("host", "127.0.0.1").option("port", port).load())
+        q = rows.writeStream.format("memory").queryName(f"live_{kind.name()}").start()
+
+        def post(path, body, port=port):
+            try:
+                return urllib.request.urlopen(urllib.request.Request(f"http://127.0.0.1:{port}{path}", body)).status
+            except urllib.error.HTTPError as e:
+                return e.code
+            except OSError:
+                return 0
+
+        try:
+            until = time.time() + 60
+            while spark.table(f"live_{kind.name()}").count() < 2 and time.time() < until:
+                if kind is live.DatagramSource:
+                    with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as out:
+                        out.sendto(line.encode(), ("127.0.0.1", port))
+                        out.sendto(b"no record", ("127.0.0.1", port))
+                elif post("/telemetry", line.encode()) == 204:
+                    assert (post("/telemetry", b"{"), post("/other", b"{}"), post("/telemetry", b"1" * 70000)) == (400, 404, 413)
+                time.sleep(0.5)
+            got = spark.table(f"live_{kind.name()}").collect()
+            assert len(got) >= 2 and {r["tiles_done"] for r in got} == {3} and all(r["ts"] for r in got)
+        finally:
+            q.stop()
+    b = live.Buffer()
+    assert all(b.put(str(i)) for i in range(5)) and b.since(2) == (["2", "3", "4"], 5) and b.between(1, 3) == ["1", "2"]
+    b.drop(4)
+    assert b.since(4) == (["4"], 5) and b.since(9)[1] == 9

@@ -143,6 +143,14 @@ def geojson_polygon(points: Column, x: str = "lon", y: str = "lat") -> Column:
     return F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(coords).alias("coordinates")))
 
 
+def flat_points(coordinates: Column) -> Column:
+    """The points (x, y) of GeoJSON coordinates of any nesting, in order, of their text."""
+    number = r"(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)"
+    pair = F.lit(rf"\[\s*{number}\s*,\s*{number}")
+    x, y = (F.regexp_extract_all(coordinates, pair, F.lit(i)) for i in (1, 2))
+    return F.zip_with(x, y, lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y")))
+
+
 def _authalic(lat: Column) -> Column:
     """q(latitude in degrees), to which the area between the equator and a latitude is proportional."""
     e = math.sqrt(WGS84_F * (2 - WGS84_F))

@@ -545,3 +545,13 @@ def iou_float_pairs(spark, sf_dir):
     """Conflicts by the IoU of fractional boxes in single precision, at the threshold of a tile."""
     b = boxes(spark, sf_dir).withColumns({c: F.col(c) * 0.25 for c in ("x0", "y0", "x1", "y1")})
     return nms.conflicts(b, ["session_id", "class_id"], 16, nms.iou_over(fixed.TILE_IOU))
+
+
+@query(f"""WITH {DET} SELECT det_id, 3 AS n, CAST(x0 + 0.5 AS DOUBLE) AS first_x, CAST(-y1 AS DOUBLE) AS last_y FROM det""")
+def flat_points(spark, sf_dir):
+    """Three points out of one to three levels of brackets."""
+    x0, y0, y1 = (F.col(c).cast("string") for c in ("x0", "y0", "y1"))
+    flat = F.concat(F.lit("[["), x0, F.lit(".5,"), y0, F.lit("],["), x0, F.lit(" , 1e2],["), x0, F.lit(",-"), y1, F.lit("]]"))
+    deep = (F.col("det_id") % 3).cast("int")
+    at = G.flat_points(F.concat(F.repeat(F.lit("["), deep), flat, F.repeat(F.lit("]"), deep)))
+    return boxes(spark, sf_dir).select("det_id", F.size(at).alias("n"), at[0]["x"].alias("first_x"), at[F.size(at) - 1]["y"].alias("last_y"))

@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import json
+import shutil
 import threading
+import time
+import uuid
 from collections.abc import Callable
+from pathlib import Path
+from typing import BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -138,17 +143,26 @@ class Engine:
         self.spark, self.sessions, self._next, self.store, self.models = spark, {}, 1, store, models or {}
         self.on_progress: list[Callable[[int, int, int], None]] = []
 
-    def register(self, filename: str, width: int | None = None, height: int | None = None) -> int:
-        """A session of an image of that size or, without a size, of the raster at filename."""
+    def upload(self, body: BinaryIO, filename: str = "input.tif") -> int:
+        """A session of a raster read from body, piece by piece, into a folder of its own in the store; filename only names it."""
+        path = Path(self.store, "uploads", uuid.uuid4().hex, "input.tif")
+        path.parent.mkdir(parents=True)
+        with path.open("wb") as out:
+            shutil.copyfileobj(body, out, 1 << 20)
+        return self.register(filename, path=str(path))
+
+    def register(self, filename: str, width: int | None = None, height: int | None = None, path: str | None = None) -> int:
+        """A session of an image of that size or, without a size, of the raster at path (or filename)."""
+        path = path or filename
         meta = {"width": width, "height": height, "geo_transform": None, "epsg": None}
         if width is None:
             self.spark.dataSource.register(GeoTiffSource)
-            row = self.spark.read.format("geotiff").option("mode", "meta").load(filename).select("*", config.raster_fault(F.lit(filename), F.lit(True), F.col("error").isNull()).alias("fault")).first()
+            row = self.spark.read.format("geotiff").option("mode", "meta").load(path).select("*", config.raster_fault(F.lit(path), F.lit(True), F.col("error").isNull()).alias("fault")).first()
             if row["fault"]:
                 raise ValueError(row["fault"])
             meta = row.asDict()
         sid, self._next = self._next, self._next + 1
-        self.sessions[sid] = {"filename": filename, "meta": meta, "raster": width is None, "machine": StateMachine(), "config": dict(fixed.CONFIG), "error": "", "result": None, "done": 0, "total": 0}
+        self.sessions[sid] = {"filename": filename, "path": path, "meta": meta, "raster": width is None, "machine": StateMachine(), "config": dict(fixed.CONFIG), "error": "", "result": None, "done": 0, "total": 0}
         self._log(sid)
         return sid
 
@@ -181,7 +195,7 @@ class Engine:
             return mock.detections(tiles)
         if not s["raster"]:
             raise ValueError(f"model {c['model']} needs a raster")
-        tiles = self.spark.read.format("geotiff").option("tile", c["tile_size"]).option("overlap", c["overlap"]).load(s["filename"]).where("read_ok")
+        tiles = self.spark.read.format("geotiff").option("tile", c["tile_size"]).option("overlap", c["overlap"]).load(s["path"]).where("read_ok")
         tiles = tiles.select(F.lit(sid).cast("long").alias("session_id"), "tile_index", F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("tile_w").alias("width"), F.col("tile_h").alias("height"), "band_count", "pixels")
         keys = ["session_id", "tile_index", "tx", "ty"]
         if c["model"] in self.models:
@@ -267,6 +281,21 @@ class Engine:
         s = self.sessions[sid]
         return {"session_id": sid, "filename": s["filename"], "status": s["machine"].state, "tile_total": s["total"], "tile_done": s["done"], "progress": s["done"] * 100 // s["total"] if s["total"] else 0, "error_message": s["error"]}
 
+    def wait(self, sid: int, every: float = 1.0) -> dict:
+        """Look every so many seconds until the session has ended; its status then."""
+        while not self.sessions[sid]["machine"].terminal:
+            time.sleep(every)
+        return self.status(sid)
+
+    def health(self) -> dict:
+        return {"status": "ok"}
+
+    def telemetry(self) -> dict:
+        """The session at work, or an idle record."""
+        sid = next((i for i, s in self.sessions.items() if s["machine"].can_process), 0)
+        s = self.sessions.get(sid, {"done": 0, "total": 0})
+        return {"session_id": sid, "state": s["machine"].state if sid else fixed.STATES[0], "tiles_done": s["done"], "tiles_total": s["total"], "queue_size": s["total"] - s["done"]}
+
 
 def newest_first(rows: DataFrame, n: int) -> DataFrame:
     """The last n rows of all by ts: a limit that Spark takes from each partition's newest."""
