@@ -26,14 +26,14 @@ from .common import columns, staged
 
 NEAREST = 20
 EVERY = 20
-LINES = 240
+LINES = 128
 #: First half width of a window, in units of the distance between unit vectors; it grows by WIDEN.
 HALF_WIDTH = 1.1
 WIDEN = 1.08
 #: A vector is verified if it collides on this share of the lines.
 THRESHOLD = 0.61
-#: Windows widen until NEAREST plus this share of an index's vectors reach the threshold.
-ENOUGH = 0.08
+#: Windows widen until this share of an index's vectors reach the threshold, and at least so many.
+ENOUGH, AT_LEAST = 0.1, 40 * NEAREST
 #: Fewer vectors of like norms than this have no index of their own: all of them are verified.
 LEAST_INDEXED = 64
 VECTORS_A_BLOCK = 8192
@@ -49,11 +49,8 @@ def lines(dim: int, n: int = LINES, seed: int = SEED) -> np.ndarray:
 
 def inner_products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Exact inner products in double precision, summed from the first component to the last for every row alike."""
-    out = np.zeros(len(vectors))
     with np.errstate(over="ignore", invalid="ignore"):
-        for j in range(vectors.shape[1]):
-            out += vectors[:, j] * query[j]
-    return out
+        return np.add.accumulate(vectors * query, axis=1)[:, -1]
 
 
 def directions(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +80,7 @@ class Index:
     def candidates(self, unit: np.ndarray) -> Iterator[np.ndarray]:
         """For each query (a unit vector) the vectors that collide with it on enough lines, windows having widened as far as needed."""
         n = self.order.shape[1]
-        wanted, least = min(n, NEAREST + 1 + ENOUGH * n), np.ceil(THRESHOLD * len(self.order))
+        wanted, least = min(n, max(AT_LEAST, ENOUGH * n)), np.ceil(THRESHOLD * len(self.order))
         for begin in range(0, len(unit), QUERIES_A_STEP):
             at = unit[begin : begin + QUERIES_A_STEP] @ self.axes[:, :-1].T
             counts = np.zeros((len(at), n), np.int16)
@@ -94,8 +91,12 @@ class Index:
             while len(left):
                 new_lo, new_hi = self._window(at[left], half)
                 for q, a, b, c, d in zip(left.tolist(), new_lo.tolist(), lo[left].tolist(), hi[left].tolist(), new_hi.tolist(), strict=True):
-                    reached = [x for row, i, j, k, m in zip(self.order, a, b, c, d, strict=True) for x in (row[i:j], row[k:m])]
-                    counts[q] += np.bincount(np.concatenate(reached), minlength=n).astype(np.int16)
+                    if half == HALF_WIDTH and 2 * (sum(d) - sum(a)) > n * len(a):  # a first window over more than half: count what it leaves out
+                        missed = np.concatenate([x for row, i, m in zip(self.order, a, d, strict=True) for x in (row[:i], row[m:])])
+                        counts[q] = len(a) - np.bincount(missed, minlength=n)
+                    else:
+                        reached = np.concatenate([x for row, i, j, k, m in zip(self.order, a, b, c, d, strict=True) for x in (row[i:j], row[k:m])])
+                        counts[q] += np.bincount(reached, minlength=n).astype(np.int16)
                     close = np.flatnonzero(counts[q] >= least)
                     if len(close) >= wanted or (sum(a) == 0 and min(d) == n):
                         found[q] = close
@@ -108,7 +109,8 @@ def search(ids: np.ndarray, keys: np.ndarray, vectors: np.ndarray, query_ids: np
     """(place of a query, ids, scores) of the best k found of all rows but the query's own, ties to smaller ids."""
     unit, size = directions(vectors)
     asked = directions(queries)[0]
-    tier = np.floor(size)
+    # Norms about 1, the usual ones, fall into one tier.
+    most, tier = np.abs(vectors).max(), np.floor(size + 0.5)
     parts = [np.flatnonzero(tier == t) for t in np.unique(tier)]
     loose = np.concatenate([np.empty(0, np.int64), *(p for p in parts if len(p) < LEAST_INDEXED)])
     parts = [p for p in parts if len(p) >= LEAST_INDEXED]
@@ -118,8 +120,8 @@ def search(ids: np.ndarray, keys: np.ndarray, vectors: np.ndarray, query_ids: np
         found = found[(ids[found] != query_ids[q]) | (keys[found] != query_keys[q])]
         with np.errstate(over="ignore", invalid="ignore"):
             near = vectors[found] @ queries[q]
-        if len(found) > k and np.isfinite(near).all():  # the exact order is taken of what can be among the best
-            slack = 1e-9 * np.abs(near).max() + 1e-9 * np.abs(queries[q]).max() * np.abs(vectors[found]).max()
+            slack = 1e-9 * np.abs(queries[q]).max() * most
+        if len(found) > k and np.isfinite(near).all() and np.isfinite(slack):  # the exact order is taken of what can be among the best
             found = found[near >= np.partition(near, len(near) - k)[len(near) - k] - slack]
         score = inner_products(vectors[found], queries[q])
         best = np.lexsort((ids[found], -np.where(np.isnan(score), -np.inf, score)))[:k]
