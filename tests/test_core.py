@@ -12,7 +12,7 @@ from tilequilt.plans import queries, session
 from tilequilt.sources import geotiff
 
 SF = "/root/testdata/sf0.001"
-TABLES = "part orders lineitem events embeddings".split()
+TABLES = "part orders lineitem events embeddings nation".split()
 
 
 @pytest.fixture(scope="module")
@@ -131,6 +131,61 @@ def test_crs(spark):
     assert tuple(got[2])[:2] == (10.0, 20.0) and got[3]["crs_status"] == "none"
 
 
+@pytest.mark.parametrize(
+    ("epsg", "x", "y", "lon", "lat"),
+    [
+        (3035, 3962799.45, 2999718.85, 5.0, 50.0), (3032, 7255380.79, 7053389.56, 120.0, -75.0), (2154, 652469.02, 6862035.26, 2.3522, 48.8566), (2154, 700000, 6600000, 3.0, 46.5), (5070, 0, 0, -96.0, 23.0),
+        (3413, 0, 0, -45.0, 90.0), (25832, 500000, 0, 9.0, 0.0), (28355, 500000, 10000000, 147.0, 0.0), (3395, 1113194.907933, 0, 10.0, 0.0), (3006, 500000, 0, 15.0, 0.0), (4258, 7, 8, 7.0, 8.0), (99, 7, 8, 7.0, 8.0),
+    ],
+)
+def test_projections(spark, epsg, x, y, lon, lat):
+    """Published points and points of origin; codes known beforehand and in a column agree where both can be."""
+    at = spark.range(1).select(G.to_wgs84(epsg, F.lit(float(x)), F.lit(float(y))).alias("a"), G.to_wgs84(F.lit(epsg), F.lit(float(x)), F.lit(float(y))).alias("b")).first()
+    assert at["a"]["lon"] == pytest.approx(lon, abs=2e-7) and at["a"]["lat"] == pytest.approx(lat, abs=2e-7)
+    if at["b"]["crs_status"] == "projected":
+        assert at["b"]["lon"] == pytest.approx(lon, abs=2e-7) and at["b"]["lat"] == pytest.approx(lat, abs=2e-7)
+    assert at["a"]["crs_status"] == {4258: "geographic", 99: "passed through"}.get(epsg, "projected")
+
+
+def test_outlines_against_painting(spark):
+    """Random masks' outlines by class priority, painted pixel by pixel; an outline that touches itself; one without an inside."""
+    rng = np.random.default_rng(5)
+    rows, painted = [], {}
+    for i in range(60):
+        mask = rng.random((4, 4)) < 0.6
+        ring = rings.largest_ring(mask)
+        x, y, c = int(rng.integers(0, 60)), int(rng.integers(0, 100)), int(rng.integers(0, 5))
+        points = [(x + 7 * a, y + 5 * b) for a, b in ring]
+        # Even-odd by pixel: sides to the right of its middle.
+        inside = np.zeros((140, 120), bool)
+        for (ax, ay), (bx, by) in zip(points, points[1:] + points[:1], strict=True):
+            if ax == bx:
+                inside[min(ay, by) : max(ay, by), :ax] ^= True
+        conf = float(rng.integers(0, 100))
+        rows.append((1, c, conf, min(p[0] for p in points), min(p[1] for p in points), max(p[0] for p in points), max(p[1] for p in points), points))
+        painted.setdefault(c, [0.0, np.zeros_like(inside)])
+        painted[c] = [max(painted[c][0], conf), painted[c][1] | inside]
+    rows.append((1, 9, 1000.0, 3, 3, 9, 3, [(3, 3), (9, 3), (9, 3), (3, 3)]))
+    rows.append((1, 8, 999.0, 0, 0, 4, 4, None))
+    painted[9], painted[8] = [1000.0, np.zeros((140, 120), bool)], [999.0, np.zeros((140, 120), bool)]
+    painted[8][1][:4, :4] = True
+    taken, want = np.zeros((140, 120), bool), {}
+    for c, (_, mask) in sorted(painted.items(), key=lambda x: (-x[1][0], x[0])):
+        want[c] = int((mask & ~taken).sum())
+        taken |= mask
+    df = spark.createDataFrame(rows, "session_id long, class_id int, conf double, x0 long, y0 long, x1 long, y1 long, outline array<struct<x:long,y:long>>")
+    boxes = coverage.shape_boxes(df)
+    gt = F.array(*map(F.lit, (10.0, 1e-5, 0.0, 50.0, 0.0, -1e-5)))
+    got = coverage.class_areas(boxes, gt, 4326).collect()
+    assert {r["class_id"]: r["area"] for r in got} == want
+    assert {r["class_id"] for r in got if r["rank"] == 1} == {9}
+    pixel = np.cos(np.radians(50)) * 1.1131949 * 1.1124  # about, in square metres
+    for r in got:
+        assert r["area_m2"] == pytest.approx(r["area"] * pixel, rel=0.01)
+    assert coverage.union_area(boxes, ["session_id"]).first()["area"] == int(taken.sum())
+    assert coverage.class_areas(boxes.limit(0)).count() == 0
+
+
 def test_stored_detections(spark, tmp_path):
     ring = G.ring(G.corners(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(1.0)), "lon", "lat")
     df = spark.range(4).select((F.col("id") % 2).alias("session_id"), F.when(F.col("id") < 3, ring).otherwise(F.slice(ring, 1, 3)).alias("ring"))
@@ -315,6 +370,7 @@ def test_engine_on_a_raster(spark, tmp_path):
     assert out["features"][0]["properties"]["class_id"] == 5 and out["coverage"]["classes"][0]["class_id"] == 5
     area = sum((r["x1"] - r["x0"]) * (r["y1"] - r["y0"]) for r in kept)
     assert out["coverage"]["classes"][0]["area"] <= area
+    assert 0 < out["coverage"]["classes"][0]["area_m2"] < out["coverage"]["classes"][0]["area"] * 4
     log = e.log().collect()
     assert [(r["session_id"], r["status"], r["tile_done"]) for r in log] == [(sid, "DONE", 6)]
     e.configure(sid, conf_thresh=0.95)
@@ -332,6 +388,28 @@ def test_engine_on_a_raster(spark, tmp_path):
     assert e.status(other)["status"] == "ERROR" and "raster" in e.status(other)["error_message"]
 
 
+def test_engine_keeps_outlines(spark, tmp_path):
+    """Outlines of a model of cells reach the stored rings and the coverage."""
+    geotiff.write_geotiff(str(tmp_path / "a.tif"), np.zeros((64, 64, 3), "u1"), [1e6, 2.0, 0, 5e6, 0, -2.0], 3857)
+
+    def make():
+        def model(tensor):
+            out = np.zeros((1, 8, 8, 8), np.float32)
+            out[0, 0] = 5
+            out[0, 4, 0, 0:2] = out[0, 4, 1, 0] = 9  # an L of three cells
+            return out
+
+        return model
+
+    e = session.Engine(spark, str(tmp_path / "store"), {"segformer_loveda": make})
+    sid = e.register(str(tmp_path / "a.tif"))
+    e.configure(sid, model="segformer_loveda", tile_size=64, overlap=0, conf_thresh=0.3)
+    kept = e.start(sid).collect()
+    assert len(kept) == 1 and len(kept[0]["outline"]) == len(kept[0]["ring"]) == 8
+    out = e.results(sid)
+    assert out["coverage"]["classes"][0]["area"] == 3 * 64 and len(out["features"][0]["geometry"]["coordinates"][0]) == 9
+
+
 def test_geotiff_faults_and_samples(spark, tmp_path):
     image = np.array([[[0.4], [0.5], [254.6], [300.0]], [[-3.0], [np.nan], [7.49], [1.5]]], "<f4")
     geotiff.write_geotiff(str(tmp_path / "a.tif"), image, [10.0, 1.0, 0, 20.0, 0, -1.0], 4326)

@@ -18,3 +18,8 @@ def tile_grid(images: DataFrame, tile: int | Column = 512, overlap: int | Column
     grid = grid.withColumn("tile_row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("tile_col", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)))
     grid = grid.withColumns({"tile_index": F.col("tile_row") * F.col("cols") + F.col("tile_col"), "x": F.col("tile_col") * stride, "y": F.col("tile_row") * stride})
     return grid.withColumns({"tile_w": F.least(tile, F.col("width") - F.col("x")), "tile_h": F.least(tile, F.col("height") - F.col("y"))})
+
+
+def buffer_ok(pixels, width, height, bands):
+    """Whether a tile's pixels have the length that its size says."""
+    return F.coalesce(F.length(pixels) == width.cast("long") * height * bands, F.lit(False))

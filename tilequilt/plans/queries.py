@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, mock
 from ..functions import geometry as G
-from ..operators import config, coverage, grid, nms, telemetry, tensor
+from ..operators import config, coverage, grid, inference, nms, rings, telemetry, tensor
+from ..sources import geotiff
 from ..staging import shared_dir
 from . import session
 
@@ -555,3 +559,231 @@ def flat_points(spark, sf_dir):
     deep = (F.col("det_id") % 3).cast("int")
     at = G.flat_points(F.concat(F.repeat(F.lit("["), deep), flat, F.repeat(F.lit("]"), deep)))
     return boxes(spark, sf_dir).select("det_id", F.size(at).alias("n"), at[0]["x"].alias("first_x"), at[F.size(at) - 1]["y"].alias("last_y"))
+
+
+# --- outlines and areas
+
+_L = "det AS (SELECT det_id, session_id, class_id, conf, x0, y0, (x0 + x1) // 2 AS x1, y1 FROM det0 UNION ALL SELECT det_id, session_id, class_id, conf, (x0 + x1) // 2, (y0 + y1) // 2, x1, y1 FROM det0)"
+
+
+def outlines(spark, sf_dir):
+    """Each box without its upper right quarter, as an outline."""
+    b = boxes(spark, sf_dir)
+    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
+    mx, my = F.floor((x0 + x1) / 2), F.floor((y0 + y1) / 2)
+    return b.withColumn("outline", G.ring([(x0, y0), (mx, y0), (mx, my), (x1, my), (x1, y1), (x0, y1)]))
+
+
+@query(f"WITH {_AREAS.replace('det AS (', 'det0 AS (', 1).replace('clipped AS', _L + ', clipped AS', 1)} SELECT * FROM areas")
+def outline_coverage(spark, sf_dir):
+    """Coverage of rectilinear outlines by class priority."""
+    return coverage.class_areas(coverage.clip(coverage.shape_boxes(outlines(spark, sf_dir)), SIDE, SIDE))
+
+
+@query(f"""WITH {DET} SELECT det_id, (x1 - x0) * (y1 - y0) - (x1 - (x0 + x1) // 2) * ((y0 + y1) // 2 - y0) AS area, x0 <= 300 AND x1 >= 200 AND y0 <= 900 AND y1 >= 100 AND (x0 + x1) // 2 >= 200 OR
+  (x0 + x1) // 2 <= 300 AND x1 >= 200 AND (y0 + y1) // 2 <= 900 AND y1 >= 100 AS meets FROM det""")
+def outline_predicates(spark, sf_dir):
+    """Area of each outline, and whether it meets a window."""
+    window = dict(zip(("x0", "y0", "x1", "y1"), map(F.lit, (200, 100, 300, 900)), strict=True))
+    inside = G.ring_boxes(F.col("outline"))
+    area = F.aggregate(F.transform(inside, G.box_area), F.lit(0).cast("long"), lambda a, b: a + b.cast("long"))
+    return outlines(spark, sf_dir).select("det_id", area.alias("area"), F.exists(inside, lambda b: G.meets(b, window)).alias("meets"))
+
+
+_E2 = G.WGS84_F * (2 - G.WGS84_F)
+# Every row of pixels by itself again: its runs of pixels have the ellipsoidal area between its parallels.
+_METRES = _AREAS[: _AREAS.index("tot AS (")] + f"""pixel AS (SELECT session_id, y, abs(q1 - q0) * 0.5 / 6378137.0::DOUBLE * {G.WGS84_A**2 / 2} AS m2 FROM (SELECT *, (1 - e2) * (s0 / (1 - e2 * s0 * s0) + atanh(sqrt(e2) * s0) / sqrt(e2)) AS q0, (1 - e2) * (s1 / (1 - e2 * s1 * s1) + atanh(sqrt(e2) * s1) / sqrt(e2)) AS q1
+  FROM (SELECT session_id, y, {_E2!r}::DOUBLE AS e2, tanh((5e6 + session_id * 500 - y * 0.5::DOUBLE) / 6378137.0) AS s0, tanh((5e6 + session_id * 500 - (y + 1) * 0.5::DOUBLE) / 6378137.0) AS s1 FROM (SELECT DISTINCT session_id, y FROM line)))),
+tot AS (SELECT run.session_id, rank, sum(greatest(0, x1 - greatest(x0, coalesce(far, x0))) * m2) AS total FROM run JOIN pixel ON run.session_id = pixel.session_id AND run.y = pixel.y GROUP BY ALL),
+metres AS (SELECT rk.session_id, rk.class_id, round(coalesce(total, 0) - coalesce(lag(coalesce(total, 0)) OVER (PARTITION BY rk.session_id ORDER BY rk.rank), 0), 2) AS area_m2 FROM rk LEFT JOIN tot ON rk.session_id = tot.session_id AND rk.rank = tot.rank)"""
+
+
+@query(f"WITH {_METRES} SELECT * FROM metres")
+def coverage_metres(spark, sf_dir):
+    """Square metres of each class's own area, on the ellipsoid."""
+    s = F.col("session_id").cast("double")
+    gt = F.array(F.lit(1e6) + s * 1000, F.lit(0.5), F.lit(0.0), F.lit(5e6) + s * 500, F.lit(0.0), F.lit(-0.5))
+    areas = coverage.class_areas(coverage.clip(boxes(spark, sf_dir), SIDE, SIDE), gt, 3857)
+    return areas.select("session_id", "class_id", F.round("area_m2", 2).alias("area_m2"))
+
+
+@query(f"""WITH b AS (SELECT {_FLOATS} FROM orders) SELECT det_id, CASE WHEN det_id % 2 = 0 THEN 448 + CAST(round(x) AS INTEGER) ELSE 448 + CAST(trunc(x) AS INTEGER) END AS x0,
+  CASE WHEN det_id % 2 = 0 THEN 896 + CAST(round(y + h) AS INTEGER) ELSE 896 + CAST(trunc(y) AS INTEGER) + CAST(trunc(h) AS INTEGER) END AS y1 FROM b""")
+def detection_rings(spark, sf_dir):
+    """Outlines of four points round, boxes (here: outlines of three points or none) truncate."""
+    x, y, w, h = (F.col(c) for c in "xywh")
+    full = G.ring(G.corners(x, y, x + w, y + h))
+    polygon = F.when(F.col("det_id") % 2 == 0, full).when(F.col("det_id") % 3 == 0, F.slice(full, 1, 3)).otherwise(F.slice(full, 1, 0))
+    b = G.bounds(G.detection_ring(F.lit(448), F.lit(896), polygon, x, y, w, h))
+    return float_boxes(spark, sf_dir).select("det_id", b["x0"].alias("x0"), b["y1"].alias("y1"))
+
+
+@query("SELECT o_orderkey AS id, round(CAST((o_orderkey * 7919 % 60000) / 10000.0 AS DOUBLE) - 3 + (o_orderkey % 60 + 1) * 6 - 183, 7) AS lon, round(CAST((o_orderkey * 104729 % 840000) / 10000.0 AS DOUBLE), 7) AS lat FROM orders")
+def utm_positions(spark, sf_dir):
+    """Positions put into the grid of their zone and taken back."""
+    k = F.col("o_orderkey")
+    zone = k % 60 + 1
+    lon, lat = k * 7919 % 60000 / 10000.0 - 3 + zone * 6 - 183, k * 104729 % 840000 / 10000.0
+    at = table(spark, sf_dir, "orders").select(k.alias("id"), (32600 + zone).cast("int").alias("epsg"), G.from_wgs84_utm(lon, lat, zone).alias("p"))
+    return at.select("id", G.to_wgs84(F.col("epsg"), F.col("p.x"), F.col("p.y")).alias("g")).select("id", F.round("g.lon", 7).alias("lon"), F.round("g.lat", 7).alias("lat"))
+
+
+# --- sources, tiles, probes and logs
+
+
+@query("""WITH p AS (SELECT o_orderkey AS id, 'scans/' || o_orderkey || '.' || CASE o_orderkey % 5 WHEN 0 THEN 'tif' WHEN 1 THEN 'TIFF' WHEN 2 THEN 'png' WHEN 3 THEN 'tar.TIF' ELSE 'JPG' END AS path, o_orderkey % 7 <> 0 AS found, o_orderkey % 11 <> 0 AS opens FROM orders)
+  SELECT id, CASE WHEN NOT found THEN 'File not found: ' || path WHEN lower(path) NOT LIKE '%.tif' AND lower(path) NOT LIKE '%.tiff' THEN 'Unsupported format: .' || CASE WHEN path LIKE '%.png' THEN 'png' ELSE 'jpg' END || ' (expected .tif/.tiff)' WHEN NOT opens THEN 'Cannot open file: ' || path END AS fault FROM p""")
+def raster_faults(spark, sf_dir):
+    k = F.col("o_orderkey")
+    kind = F.element_at(F.array(*map(F.lit, ("tif", "TIFF", "png", "tar.TIF", "JPG"))), (k % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select(k.alias("id"), config.raster_fault(F.concat(F.lit("scans/"), k.cast("string"), F.lit("."), kind), k % 7 != 0, k % 11 != 0).alias("fault"))
+
+
+@query("SELECT o_orderkey AS id, o_orderkey % 12 = (o_orderkey % 4) * (o_orderkey % 3) AS ok FROM orders")
+def valid_buffers(spark, sf_dir):
+    """Tiles whose pixels have the length that their size says."""
+    k = F.col("o_orderkey")
+    pixels = F.encode(F.repeat(F.lit("x"), (k % 12).cast("int")), "utf-8")
+    return table(spark, sf_dir, "orders").select(k.alias("id"), grid.buffer_ok(pixels, k % 4, k % 3, F.lit(1)).alias("ok"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(CASE WHEN l_suppkey % 5 > 0 THEN 100.0 * (1 - (l_partkey % (l_suppkey % 5 + 1)) / (l_suppkey % 5)::DOUBLE) ELSE 0 END, 9) AS cpu, CAST((l_partkey * 4096 + 100000) // 1024 AS INTEGER) AS ram_mb FROM lineitem""")
+def os_probe(spark, sf_dir):
+    """CPU use between two readings of idle and total time, and memory in use."""
+    span, idle = F.col("l_suppkey") % 5, F.col("l_partkey") % (F.col("l_suppkey") % 5 + 1)
+    before = F.lit(1000)
+    free = F.col("l_partkey") % 1000
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.round(telemetry.cpu_percent(before, before + 500, before + span - idle, before + 500 + span), 9).alias("cpu"),
+        telemetry.ram_used_mb(F.col("l_partkey") * 4096 + 100000 + free, free).alias("ram_mb"),
+    )
+
+
+@query(f"""WITH log AS (SELECT user_id AS session_id, event_id, {_STATE} AS status, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(event_id % 500 AS INTEGER) END AS tile_done FROM events)
+  SELECT session_id, arg_max(status, event_id) FILTER (WHERE status IS NOT NULL) AS status, arg_max(tile_done, event_id) FILTER (WHERE tile_done IS NOT NULL) AS tile_done, max(event_id) AS updated FROM log GROUP BY session_id""")
+def sessions_now(spark, sf_dir):
+    """Newest status and progress out of an append-only log; records without a progress leave it as it was."""
+    e = F.col("event_id")
+    log = metrics(spark, sf_dir).select("session_id", F.timestamp_seconds(e).alias("ts"), F.col("state").alias("status"), F.when(e % 3 != 0, (e % 500).cast("int")).alias("tile_done"))
+    return session.current_sessions(log).select("session_id", "status", "tile_done", F.unix_seconds("updated_at").alias("updated"))
+
+
+@query(f"""WITH {_TELE} SELECT event_id, state IN ('DONE', 'ERROR') AS terminal, state IN ('TILING', 'PROCESSING', 'STITCHING') AS working FROM tele""")
+def state_predicates(spark, sf_dir):
+    return metrics(spark, sf_dir).select("event_id", F.col("state").isin(*fixed.TERMINAL).alias("terminal"), F.col("state").isin(*fixed.WORKING).alias("working"))
+
+
+@query(f"""WITH {DET}, r AS (SELECT session_id, count(*) AS n, bool_and(conf < 99 OR det_id % 2 = 0) AS ok FROM det GROUP BY 1)
+  SELECT count(*) AS runs, count(DISTINCT n) AS distinct_counts, bool_and(ok) AS all_done, CASE WHEN count(DISTINCT n) = 1 AND bool_and(ok) THEN 'PASS' ELSE 'WARN' END AS verdict FROM r""")
+def run_failures(spark, sf_dir):
+    """The summary of runs some of which failed."""
+    failed = (F.col("conf") >= 99) & (F.col("det_id") % 2 != 0)
+    return telemetry.run_summary(boxes(spark, sf_dir).withColumn("status", F.when(failed, "ERROR").otherwise("DONE")), "session_id", "status")
+
+
+_TILE_DET = """det AS (SELECT o_orderkey // 7 AS tile, o_orderkey AS det_id, CAST(o_orderkey % 2 AS INTEGER) AS class_id, CAST(o_orderkey * 31 % 50 AS INTEGER) AS conf, o_custkey % 9 AS x0, o_orderkey * 7919 % 5 AS y0, o_custkey % 9 + 10 + o_orderkey % 3 AS x1, o_orderkey * 7919 % 5 + 20 AS y1 FROM orders),
+e0 AS MATERIALIZED (SELECT a.tile, a.det_id AS src, b.det_id AS dst FROM det a JOIN det b ON a.tile = b.tile AND a.class_id = b.class_id AND (a.conf > b.conf OR (a.conf = b.conf AND a.det_id < b.det_id))
+  AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1
+  WHERE 29 * (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) > 9 * ((a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0))), """
+# A class of a tile has four boxes at most, so four rounds settle it.
+_TILE_NMS = _TILE_DET + ", ".join(f"""r{i} AS MATERIALIZED (SELECT DISTINCT tile, src AS id FROM e{i} WHERE (tile, src) NOT IN (SELECT (tile, dst) FROM e{i})), g{i} AS MATERIALIZED (SELECT DISTINCT e{i}.tile, dst AS id FROM e{i} JOIN r{i} ON e{i}.tile = r{i}.tile AND src = id),
+e{i + 1} AS MATERIALIZED (SELECT * FROM e{i} WHERE (tile, dst) NOT IN (SELECT (tile, id) FROM g{i}) AND (tile, src) NOT IN (SELECT (tile, id) FROM g{i}) AND (tile, src) NOT IN (SELECT (tile, id) FROM r{i}))""" for i in range(4))
+_TILE_GONE = " UNION ALL ".join(f"SELECT tile, id FROM g{i}" for i in range(4))
+
+
+@query(f"WITH {_TILE_NMS} SELECT tile, det_id, class_id, conf FROM det WHERE (tile, det_id) NOT IN (SELECT (tile, id) FROM ({_TILE_GONE}))")
+def tile_suppression(spark, sf_dir):
+    """Suppression within tiles, as the models' decoders do it."""
+    k, x, y = F.col("o_orderkey"), F.col("o_custkey") % 9, F.col("o_orderkey") * 7919 % 5
+    rows = table(spark, sf_dir, "orders").select(F.floor(k / 7).alias("tile"), k.alias("det_id"), (k % 2).cast("int").alias("class_id"), (k * 31 % 50).cast("int").alias("conf"), x.alias("x"), y.alias("y"), (k % 3 + 10).alias("w"), F.lit(20).alias("h"))
+
+    def kept(frame):
+        frame = frame.sort_values("det_id")
+        at = inference.tile_suppressed(frame[["x", "y", "w", "h"]].to_numpy(float), frame["class_id"].to_numpy(), frame["conf"].to_numpy(float))
+        return frame.iloc[at][["tile", "det_id", "class_id", "conf"]]
+
+    return rows.groupBy("tile").applyInPandas(kept, "tile long, det_id long, class_id int, conf int")
+
+
+_GREY = "list_transform(list_transform(embedding, lambda v: v::DOUBLE), lambda v: CAST(least(255, abs(trunc(v * 400))) AS INTEGER))"
+
+
+def grey(spark, sf_dir):
+    """Images of 8 x 8 bytes, out of embeddings."""
+    level = F.transform("embedding", lambda v: F.least(F.lit(255), F.abs((v.cast("double") * 400).cast("int"))))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.unhex(F.array_join(F.transform(level, lambda v: F.lpad(F.hex(v), 2, "0")), "")).alias("pixels"))
+
+
+@query(f"""WITH g AS (SELECT vec_id, {_GREY} AS e FROM embeddings), p AS (SELECT vec_id, e, r, c, least(r // 2 + 1, 7) AS r1, least(c // 2 + 1, 7) AS c1 FROM g, range(0, 16) a(r), range(0, 16) b(c)),
+  v AS (SELECT vec_id, r, c, CASE WHEN r % 2 = 0 THEN (CASE WHEN c % 2 = 0 THEN e[r // 2 * 8 + c // 2 + 1] ELSE (e[r // 2 * 8 + c // 2 + 1] + e[r // 2 * 8 + c1 + 1]) // 2 END)
+    WHEN c % 2 = 0 THEN (e[r // 2 * 8 + c // 2 + 1] + e[r1 * 8 + c // 2 + 1]) // 2 ELSE (e[r // 2 * 8 + c // 2 + 1] + e[r // 2 * 8 + c1 + 1] + e[r1 * 8 + c // 2 + 1] + e[r1 * 8 + c1 + 1]) // 4 END AS v FROM p)
+  SELECT vec_id, CAST(sum(v) AS BIGINT) AS total, CAST(sum(v * (r * 16 + c)) AS BIGINT) AS weighted FROM v GROUP BY vec_id""")
+def resized_images(spark, sf_dir):
+    """Images resized to twice their sides, in the middle of a model's canvas without a margin."""
+
+    def run(frames):
+        for frame in frames:
+            made = [inference.prepared(np.frombuffer(p, np.uint8).reshape(8, 8, 1), 16, 114)[0][0, 1] for p in frame["pixels"]]
+            whole = [np.rint(m * np.float32(255)).astype(np.int64) for m in made]
+            yield pd.DataFrame({"vec_id": frame["vec_id"], "total": [int(w.sum()) for w in whole], "weighted": [int((w.ravel() * np.arange(256)).sum()) for w in whole]})
+
+    return grey(spark, sf_dir).mapInPandas(run, "vec_id long, total long, weighted long")
+
+
+@query("""WITH m AS (SELECT vec_id, array_to_string(list_transform(embedding[1:16], lambda v: CASE WHEN v > 0 THEN '1' ELSE ' ' END), '') AS t FROM embeddings),
+  r AS (SELECT vec_id, list_max(list_transform(string_split(t, ' '), lambda x: length(x))) AS n FROM m) SELECT vec_id, n AS area, CASE WHEN n > 0 THEN 2 * n + 2 ELSE 0 END AS points FROM r""")
+def largest_rings(spark, sf_dir):
+    """The largest outline of a mask of one row of cells: its longest run."""
+
+    def run(frames):
+        for frame in frames:
+            found = [rings.largest_ring(np.array(e[:16], float).reshape(1, 16) > 0) for e in frame["embedding"]]
+            yield pd.DataFrame({"vec_id": frame["vec_id"], "area": [int(rings.area(f)) if f else 0 for f in found], "points": [len(f) for f in found]})
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, area long, points long")
+
+
+_RASTERS = "img AS (SELECT n_nationkey AS k, CAST(60 + n_nationkey AS INTEGER) AS width, CAST(40 + n_nationkey % 7 AS INTEGER) AS height FROM nation)"
+
+
+def rasters(spark, sf_dir) -> str:
+    """A folder with one small GeoTIFF a nation, written by the tasks."""
+    folder = f"{shared_dir(spark)}/rasters-{uuid.uuid4().hex}"
+
+    def write(frames):
+        os.makedirs(folder, exist_ok=True)
+        for frame in frames:
+            for k in frame["n_nationkey"].tolist():
+                y, x = np.mgrid[0 : 40 + k % 7, 0 : 60 + k]
+                image = np.stack([(x * 7 + y * 13 + k) % 251, (x + y) % 256, (x * y) % 256], axis=2).astype(np.uint8)
+                geotiff.write_geotiff(f"{folder}/{k}.tif", image, [float(k), 0.5, 0.0, 50.0, 0.0, -0.25], 32633, 32 if k % 2 else 0, 8)
+            yield pd.DataFrame({"n": [len(frame)]})
+
+    table(spark, sf_dir, "nation").select("n_nationkey").mapInPandas(write, "n long").write.format("noop").mode("overwrite").save()
+    spark.dataSource.register(geotiff.GeoTiffSource)
+    return folder
+
+
+_NAME = r"CAST(regexp_extract(path, '([0-9]+)\.tif$', 1) AS BIGINT) AS k"
+
+
+@query(f"WITH {_RASTERS} SELECT CAST(k AS BIGINT) AS k, width, height, 3 AS band_count, 32633 AS epsg, CAST(k AS DOUBLE) AS west, 50.0::DOUBLE AS north FROM img")
+def raster_metadata(spark, sf_dir):
+    """Metadata rows of GeoTIFF files."""
+    meta = spark.read.format("geotiff").option("mode", "meta").load(rasters(spark, sf_dir))
+    return meta.selectExpr(_NAME, "width", "height", "band_count", "epsg", "geo_transform[0] AS west", "geo_transform[3] AS north")
+
+
+@query(f"""WITH {_RASTERS}, t AS (SELECT k, width, height, i AS x, j AS y, least(32, width - i) AS tile_w, least(32, height - j) AS tile_h FROM img, range(0, 96, 24) a(i), range(0, 48, 24) b(j) WHERE i < width AND j < height),
+  p AS (SELECT *, x + dx AS px, y + dy AS py FROM t, range(0, 32) c(dx), range(0, 32) d(dy) WHERE dx < tile_w AND dy < tile_h)
+  SELECT CAST(k AS BIGINT) AS k, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(tile_w AS INTEGER) AS tile_w, CAST(tile_h AS INTEGER) AS tile_h, CAST(sum((px * 7 + py * 13 + k) % 251 + 2 * ((px + py) % 256) + 3 * (px * py % 256)) AS BIGINT) AS total FROM p GROUP BY ALL""")
+def raster_windows(spark, sf_dir):
+    """Overlapping windows of GeoTIFF files, stored by strips or tiles, with a sum of their pixels by band."""
+    tiles = spark.read.format("geotiff").option("tile", 32).option("overlap", 8).load(rasters(spark, sf_dir)).where("read_ok")
+
+    def sums(frames):
+        for frame in frames:
+            frame["total"] = [int(np.frombuffer(p, np.uint8).reshape(-1, 3).sum(axis=0) @ (1, 2, 3)) for p in frame["pixels"]]
+            yield frame.drop(columns="pixels")
+
+    return tiles.selectExpr(_NAME, "x", "y", "tile_w", "tile_h", "pixels").mapInPandas(sums, "k long, x int, y int, tile_w int, tile_h int, total long")

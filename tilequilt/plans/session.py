@@ -70,9 +70,18 @@ def mock_run(images: DataFrame, tile: int = 512, overlap: int = 64, conf: float
 
 
 def survivors(found: DataFrame, tile: int) -> DataFrame:
-    """What suppression keeps of tile detections (session_id, tile_index, tx, ty, ordinal, class_id, confidence, x, y, w, h)."""
-    ring = G.box_ring(F.col("tx"), F.col("ty"), F.col("x"), F.col("y"), F.col("w"), F.col("h"))
-    boxes = found.withColumn("b", G.bounds(ring)).select(det_id(F.col("session_id"), F.col("tile_index"), F.col("ordinal")).alias("det_id"), "session_id", "class_id", F.col("confidence").alias("conf"), "tile_index", "b.*")
+    """What suppression keeps of tile detections (session_id, tile_index, tx, ty, ordinal, class_id, confidence, x, y, w, h).
+
+    With a column polygon, those of four points or more are outlines: they come back as outline, in image pixels (null
+    for a box), and suppression takes their bounds.
+    """
+    at = [F.col(c) for c in ("tx", "ty", "x", "y", "w", "h")]
+    outlined = "polygon" in found.columns
+    ring = G.detection_ring(*at[:2], F.col("polygon"), *at[2:]) if outlined else G.box_ring(*at)
+    boxes = found.withColumn("b", G.bounds(ring)).select(
+        det_id(F.col("session_id"), F.col("tile_index"), F.col("ordinal")).alias("det_id"), "session_id", "class_id", F.col("confidence").alias("conf"), "tile_index", "b.*",
+        *([F.when(F.size("polygon") >= 4, ring).alias("outline")] if outlined else []),
+    )
     return nms.suppress(boxes, ["session_id", "class_id"], tile / 2)
 
 
@@ -82,12 +91,17 @@ def det_id(session_id, tile_index, ordinal):
 
 
 def mapped(boxes: DataFrame, gt, epsg) -> DataFrame:
-    """boxes with ring: their corners in longitude and latitude, under a transform and a CRS (columns)."""
-    points = []
-    for x, y in G.corners(*(F.col(c) for c in ("x0", "y0", "x1", "y1"))):
-        at = G.to_wgs84(epsg, *G.affine(gt, x, y))
-        points.append((at["lon"], at["lat"]))
-    return boxes.withColumn("ring", G.ring(points, "lon", "lat"))
+    """boxes with ring: their outlines, or corners, in longitude and latitude, under a transform and a CRS (epsg is a
+    column, a number or None; without a transform, None, pixels stay)."""
+
+    def point(x, y):
+        at = G.to_wgs84(epsg, *G.affine(gt, x, y)) if gt is not None else {"lon": x.cast("double"), "lat": y.cast("double")}
+        return F.struct(at["lon"].alias("lon"), at["lat"].alias("lat"))
+
+    ring = F.array(*(point(x, y) for x, y in G.corners(*(F.col(c) for c in ("x0", "y0", "x1", "y1")))))
+    if "outline" in boxes.columns:
+        ring = F.when(F.size("outline") >= 4, F.transform("outline", lambda p: point(p["x"], p["y"]))).otherwise(ring)
+    return boxes.withColumn("ring", ring)
 
 
 def feature():
@@ -99,15 +113,17 @@ def feature():
 
 
 def coverage_document(areas: DataFrame, footprint) -> DataFrame:
-    """(session_id, document): classes by area, largest first, with percent to two decimals (cut), and what none covers."""
+    """(session_id, document): classes by area, largest first, with percent to two decimals (cut), and what none covers;
+    with area_m2 to two decimals if areas has it."""
     some = coverage.coverage(areas, footprint)
+    metres = "area_m2" in areas.columns
 
     def cut(x):
         return F.floor(x * 100 + F.lit(1e-6)) / 100
 
-    part = F.struct(F.col("area"), (-F.col("class_id")).alias("order"), cut(F.col("percent")).alias("percent"), F.col("class_id"))
+    part = F.struct(F.col("area"), (-F.col("class_id")).alias("order"), cut(F.col("percent")).alias("percent"), F.col("class_id"), *([F.round("area_m2", 2).alias("area_m2")] if metres else []))
     by = some.groupBy("session_id").agg(F.sort_array(F.collect_list(part), asc=False).alias("parts"), F.max(cut(F.col("unclassified_percent"))).alias("rest"))
-    classes = F.transform("parts", lambda p: F.struct(p["class_id"].alias("class_id"), p["area"].alias("area"), p["percent"].alias("percent")))
+    classes = F.transform("parts", lambda p: F.struct(p["class_id"].alias("class_id"), p["area"].alias("area"), *([p["area_m2"].alias("area_m2")] if metres else []), p["percent"].alias("percent")))
     return by.select("session_id", F.to_json(F.struct(classes.alias("classes"), F.col("rest").alias("unclassified_percent"))).alias("document"))
 
 
@@ -202,6 +218,10 @@ class Engine:
             return inference.detections(tiles, c["model"], self.models[c["model"]], c["conf_thresh"], keys)
         return inference.onnx_detections(tiles, c["model"], c["model_path"], c["conf_thresh"], keys)
 
+    def _transform(self, sid: int):
+        numbers = self.sessions[sid]["meta"]["geo_transform"]
+        return F.array(*map(F.lit, numbers)) if numbers else None
+
     def _progress(self, sid: int, done: int) -> None:
         self.sessions[sid]["done"] = done
         for f in self.on_progress:
@@ -236,11 +256,7 @@ class Engine:
             self._progress(sid, s["total"])
             self._go(sid, "STITCHING")
             kept = survivors(found, c["tile_size"])
-            if s["meta"]["geo_transform"]:
-                kept = mapped(kept, F.array(*map(F.lit, s["meta"]["geo_transform"])), F.lit(s["meta"]["epsg"]).cast("int"))
-            else:
-                kept = kept.withColumn("ring", G.ring(G.corners(*(F.col(x).cast("double") for x in ("x0", "y0", "x1", "y1"))), "lon", "lat"))
-            s["result"] = staged(kept)
+            s["result"] = staged(mapped(kept, self._transform(sid), s["meta"]["epsg"]))
             if self._go(sid, "SAVING"):
                 if self.store:
                     save_detections(s["result"], f"{self.store}/detections")
@@ -255,7 +271,8 @@ class Engine:
         return s["result"]
 
     def results(self, sid: int) -> dict:
-        """The session's FeatureCollection (features [] if there are none) and its coverage, parsed from their documents."""
+        """The session's FeatureCollection (features [] if there are none) and its coverage, parsed from their documents;
+        coverage counts pixels and, for an image with a transform, square metres."""
         s = self.sessions[sid]
         out = {"type": "FeatureCollection", "features": [], "coverage": None}
         if s["result"] is None:
@@ -265,7 +282,10 @@ class Engine:
         if found:
             out |= json.loads(found["document"])
         size = s["meta"]["width"], s["meta"]["height"]
-        areas = coverage.class_areas(coverage.clip(s["result"].select("session_id", "class_id", "conf", "x0", "y0", "x1", "y1"), *size))
+        wanted = ["session_id", "class_id", "conf", "x0", "y0", "x1", "y1", "outline"]
+        shapes = s["result"].select(*(c for c in wanted if c in s["result"].columns))
+        boxes = coverage.shape_boxes(shapes) if "outline" in shapes.columns else shapes
+        areas = coverage.class_areas(coverage.clip(boxes, *size), self._transform(sid), s["meta"]["epsg"])
         cover = coverage_document(areas, size[0] * size[1]).first()
         return out | {"coverage": json.loads(cover["document"]) if cover else None}
 
