@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import chunks, columns, in_arrow
 
 #: Pre-tokens of one generation that a worker remembers; of two generations the older is forgotten at the bound.
-REMEMBERED = 100_000
+REMEMBERED = 250_000
 _MASK = (1 << 64) - 1
 
 
@@ -145,11 +145,22 @@ class PerfectHash:
 class Vocabulary:
     """What the driver builds once and sends to the workers (its size is that of the vocabulary file)."""
 
+    _codec: Codec | None = None
+
     def __init__(self, path: str, pattern: str) -> None:
         ranks = load_ranks(path)
         self.tokens, self.ids, self.pattern = list(ranks), list(ranks.values()), pattern
         self.hash = PerfectHash(self.tokens)
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_codec"}
+
+    def codec(self) -> Codec:
+        """The worker's codec, with what it remembers of earlier tasks."""
+        if self._codec is None:
+            self._codec = Codec(self)
+        return self._codec
+
 
 class Codec(dict):
     """pre-token -> its ids as decimal text joined by spaces; a dict that fills itself and stays bounded by trim()."""
@@ -219,7 +230,7 @@ class Codec(dict):
 
 def _encoder(shared, full: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        codec = shared.value.codec()
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * full
         for batch in batches:
             for begin, texts in chunks(batch.column("text").to_pylist()):
