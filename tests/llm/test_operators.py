@@ -1,6 +1,7 @@
 """Each corpus operator against brute force, round trips or held-out accuracy, and on odd rows."""
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -460,6 +461,63 @@ def test_randomness_battery(spark):
     assert np.mean([r.n_random > 0 for r in got if r.doc_id >= 1000]) < 0.15
 
 
+def test_many_matches_in_a_text(spark):
+    """Spans over several blocks of matches, and runs that touch them or don't, against plain loops."""
+    rng, letters = np.random.default_rng(8), list(secretscan.UPPER + secretscan.LOWER + secretscan.DIGITS)
+
+    def token(n):
+        return "".join(rng.choice(letters, n)) + "a1"
+
+    n = 2 * secretscan.BLOCK + 3
+    words = [w for i in range(n) for w in ("é" * (i % 3) + " 0123456789abcdef" + "0" * (i % 5), token(40), f"{token(20)}Z00000000000000000Z")]
+    text = " ".join(words)
+    for size in (0, 1, n):
+        part = " ".join(words[: 3 * size])
+        r = secretscan.scan_secrets(spark.createDataFrame([(1, part)], "doc_id long, text string")).collect()[0]
+        assert [(s.start, s.stop, s.value) for s in r.base if s.kind == "hex"] == [(m.start(), m.end(), m[0]) for m in re.finditer("[0-9a-f]{16,}", part)]
+        hexes = [(m.start(), m.end()) for m in re.finditer("[0-9a-f]{16,}", part)]
+        runs = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", part)]
+        free = {(a, z) for a, z in runs if not any(b < z and a < y for b, y in hexes)}
+        assert {(s.start, s.stop) for s in r.random} <= free and len(r.random) >= 0.9 * len(free) and len(hexes) == 2 * size
+    assert len(text) > 50_000
+
+
+def test_battery_against_exact_tails(spark):
+    """The p-values of the battery against exact chi-squared and normal tails, run by run."""
+    rng = np.random.default_rng(9)
+
+    def upper(a, x):  # regularised upper incomplete gamma function of a whole or half a
+        at, q = (0.5, math.erfc(math.sqrt(x))) if a % 1 else (1.0, math.exp(-x))
+        while at < a:
+            q += math.exp(at * math.log(x) - x - math.lgamma(at + 1))
+            at += 1
+        return q
+
+    def expected(text, letters):
+        codes = [letters.index(c) for c in text.rstrip("=")]
+        n, size = len(codes), len(letters)
+        chi = sum((codes.count(i) - n / size) ** 2 / (n / size) for i in range(size))
+        high = [c >= size / 2 for c in codes]
+        groups, ones = 1 + sum(a != b for a, b in zip(high, high[1:], strict=False)), sum(high)
+        mean = 2 * ones * (n - ones) / n + 1
+        z = (groups - mean) / math.sqrt((mean - 1) * (mean - 2) / (n - 1))
+        own = np.array(codes) - np.mean(codes)
+        lag = (own[1:] @ own[:-1] / (own @ own) + 1 / n) * math.sqrt(n)
+        ps = [upper((size - 1) / 2, chi / 2), math.erfc(abs(z) / math.sqrt(2)), math.erfc(abs(lag) / math.sqrt(2))]
+        return [*ps, upper(3.0, -sum(map(math.log, ps)))]
+
+    rows = []
+    for name, _, letters in secretscan.ENCODINGS:
+        for n in (24, 40, 100, 300):
+            rows += [(name, "".join(rng.choice(list(letters), n))), (name, "".join(rng.choice(list(letters[: len(letters) * 3 // 4]), n)))]
+    df = spark.createDataFrame(rows, "encoding string, value string")
+    x = secretscan.tests(F.array(F.struct(F.struct("value").alias("span"), "encoding")))[0]
+    letters_of = {name: letters for name, _, letters in secretscan.ENCODINGS}
+    for r in df.select("encoding", "value", x.alias("x")).collect():
+        got = [r.x.uniform, r.x.runs, r.x.serial, r.x.p]
+        assert np.allclose(got, expected(r.value, letters_of[r.encoding]), atol=0.01), (r.encoding, len(r.value), got)
+
+
 def test_few_random_runs(spark):
     """Random runs are found where their stratum holds few or none with a p near 1/2, and however often one run is copied."""
     rng, letters = np.random.default_rng(4), list(secretscan.UPPER + secretscan.LOWER + secretscan.DIGITS)

@@ -45,12 +45,25 @@ LEAST_RUNS = 64
 PRIOR = [0.5 / BINS + (0.5 if b == 0 else 0.0) for b in range(BINS)]
 #: Strata of length: up to 31, 63, 127, 255 and beyond.
 LENGTHS = (32, 64, 128, 256)
+#: Items that are gone through together, so that work on n matches of a text doesn't grow with n squared but n * (BLOCK + n / BLOCK).
+BLOCK = 256
+
+
+def _once(value: Column, use) -> Column:
+    """use(value), with value made once: in a lambda an expression of columns would be made anew for each item."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _blocks(items: Column) -> Column:
+    """items, bound by _once, in runs of BLOCK; one empty run if there are none."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(items) / BLOCK).cast("int") - 1, F.lit(0))), lambda i: F.slice(items, i * BLOCK + 1, F.lit(BLOCK)))
 
 
 def spans(text: Column, pattern: str, kind: str, order: int, least: int = 0, group: int = 0) -> Column:
     """array<struct<start, ord, stop, kind, value>> of the matches of pattern, by code points; group at least that long.
 
-    Java's split gives the pieces between matches, so starts are running sums of the lengths of pieces and matches.
+    Java's split gives the pieces between matches, so starts are running sums of the lengths of pieces and matches,
+    taken within blocks and then over them, as each step of a fold copies the list that it has so far.
     """
     if least:
         parts = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g"), F.split(text, pattern, -1).alias("p"))
@@ -67,7 +80,13 @@ def spans(text: Column, pattern: str, kind: str, order: int, least: int = 0, gro
         keep = x["m"].isNotNull() & (F.length(x["g"]) >= least)
         return F.struct(stop.alias("at"), F.when(keep, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    made = F.aggregate(parts, zero, step, lambda acc: acc["out"])
+    def follow(acc: Column, block: Column) -> Column:
+        moved = F.transform(block["out"], lambda x: x.withField("start", x["start"] + acc["at"]).withField("stop", x["stop"] + acc["at"]))
+        return F.struct((acc["at"] + block["at"]).alias("at"), F.array_append(acc["out"], moved).alias("out"))
+
+    none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind_type}>").alias("out"))
+    blocks = _once(parts, lambda x: F.transform(_blocks(x), lambda b: F.aggregate(b, zero, step)))
+    made = F.flatten(F.aggregate(blocks, none, follow, lambda acc: acc["out"]))
     return F.when(text.rlike(pattern), made).otherwise(F.array().cast(kind_type))
 
 
@@ -86,7 +105,13 @@ def free_runs(text: Column, base: Column) -> Column:
     """Spans of candidate runs with a letter and a digit that touch no base span."""
     every = F.flatten(F.transform(spans(text, RUN, "random", 3), pieces))
     runs = F.filter(every, lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
-    return F.filter(runs, lambda s: ~F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
+
+    def touched(s: Column, spans_: Column) -> Column:
+        return F.exists(spans_, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
+
+    ranged = _once(base, lambda x: F.transform(_blocks(x), lambda b: F.struct(F.array_min(F.transform(b, lambda y: y["start"])).alias("start"), F.array_max(F.transform(b, lambda y: y["stop"])).alias("stop"), b.alias("spans"))))
+    free = _once(ranged, lambda x: F.filter(runs, lambda s: ~F.exists(x, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]) & touched(s, b["spans"]))))
+    return F.when(F.size(base) > 0, free).otherwise(runs)
 
 
 def normal_tail(z: Column) -> Column:
