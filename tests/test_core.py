@@ -479,6 +479,20 @@ def test_stream_of_own_documents(spark, tmp_path):
     assert taken == ["row"]
 
 
+def test_reports(spark):
+    """Runs that agree, a run without a status, and no runs at all."""
+    fields = [("Run", "run", 6), ("Detections", "n", 12), ("State", "status", 0)]
+
+    def lines(*rows):
+        df = spark.createDataFrame(list(rows), "run long, n long, status string")
+        return [r.line for r in telemetry.report(df, "run", fields).orderBy("part", "run").collect()]
+
+    head = ["Run    Detections   State", "-" * 60]
+    assert lines((1, 7, "DONE"), (1234567, 7, "DONE")) == [*head, "1      7            DONE", "1234567 7            DONE", "PASS: All 2 runs produced 7 detections (consistent)", "PASS: All sessions reached DONE state"]
+    assert lines((1, 7, None), (2, 9, "DONE"))[-2:] == ["WARN: Inconsistent detection counts: 7 to 9", "FAIL: All sessions reached DONE state"]
+    assert lines() == head
+
+
 def test_documents_and_formulas(spark):
     row = spark.createDataFrame([("x/a.TIFF", True, True, 100, 200, 10, 60, 4096, 1024)], "path string, found boolean, opens boolean, t0 long, t1 long, b0 long, b1 long, total long, free long")
     c = F.col

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,3 +76,23 @@ def report_line(*fields: tuple[Column, int]) -> Column:
         return F.when(F.length(text) >= width, text).otherwise(F.rpad(text, width, " "))
 
     return F.concat_ws(" ", *(cell(v, w) for v, w in fields))
+
+
+def report(rows: DataFrame, run: str, fields: list[tuple[str, str, int]], detections: str = "n", status: str = "status") -> DataFrame:
+    """A whole report as (part, run, line): 0 the heading, 1 a rule, 2 a line a row, 3 whether counts agree, 4 whether all ended well.
+
+    fields are (heading, column, width). Rows are not numbered, so that no task holds them all: sort by part and run. An
+    empty table has a heading and a rule.
+    """
+    some = rows.agg(F.count("*").alias("n"), F.min(detections).alias("least"), F.max(detections).alias("most"), F.bool_and(F.coalesce(F.col(status) == "DONE", F.lit(False))).alias("done")).where("n > 0")
+    same = F.format_string("PASS: All %d runs produced %d detections (consistent)", "n", "least")
+    agree = F.when(F.col("least") == F.col("most"), same).otherwise(F.format_string("WARN: Inconsistent detection counts: %d to %d", "least", "most"))
+    ended = F.concat(F.when(F.col("done"), "PASS").otherwise("FAIL"), F.lit(": All sessions reached DONE state"))
+
+    def part(df: DataFrame, number: int, line: Column, at: Column) -> DataFrame:
+        return df.select(F.lit(number).alias("part"), at.cast("long").alias("run"), line.alias("line"))
+
+    one, none = rows.sparkSession.range(1), F.lit(None)
+    parts = [part(one, 0, report_line(*((F.lit(h), w) for h, _, w in fields)), none), part(one, 1, F.lit("-" * 60), none)]
+    parts += [part(rows, 2, report_line(*((F.col(c), w) for _, c, w in fields)), F.col(run)), part(some, 3, agree, none), part(some, 4, ended, none)]
+    return reduce(DataFrame.unionByName, parts)

@@ -681,6 +681,18 @@ def run_failures(spark, sf_dir):
     return telemetry.run_summary(boxes(spark, sf_dir).withColumn("status", F.when(failed, "ERROR").otherwise("DONE")), "session_id", "status")
 
 
+@query(f"""WITH {DET}, r AS (SELECT session_id, count(*) AS n, CASE WHEN bool_and(conf < 99 OR det_id % 2 = 0) THEN 'DONE' ELSE 'ERROR' END AS state FROM det GROUP BY 1)
+  SELECT 0 AS part, NULL::BIGINT AS run, 'Run    Detections   State' AS line UNION ALL SELECT 1, NULL, repeat('-', 60)
+  UNION ALL SELECT 2, session_id, rpad(session_id::VARCHAR, 6, ' ') || ' ' || rpad(n::VARCHAR, 12, ' ') || ' ' || state FROM r
+  UNION ALL SELECT 3, NULL, CASE WHEN min(n) = max(n) THEN 'PASS: All ' || count(*) || ' runs produced ' || min(n) || ' detections (consistent)' ELSE 'WARN: Inconsistent detection counts: ' || min(n) || ' to ' || max(n) END FROM r
+  UNION ALL SELECT 4, NULL, CASE WHEN bool_and(state = 'DONE') THEN 'PASS' ELSE 'FAIL' END || ': All sessions reached DONE state' FROM r""")
+def run_report(spark, sf_dir):
+    """The whole report of runs some of which failed."""
+    failed = F.bool_or((F.col("conf") >= 99) & (F.col("det_id") % 2 != 0))
+    runs = boxes(spark, sf_dir).groupBy("session_id").agg(F.count("*").alias("n"), F.when(failed, "ERROR").otherwise("DONE").alias("status"))
+    return telemetry.report(runs, "session_id", [("Run", "session_id", 6), ("Detections", "n", 12), ("State", "status", 0)])
+
+
 _TILE_DET = """det AS (SELECT o_orderkey // 7 AS tile, o_orderkey AS det_id, CAST(o_orderkey % 2 AS INTEGER) AS class_id, CAST(o_orderkey * 31 % 50 AS INTEGER) AS conf, o_custkey % 9 AS x0, o_orderkey * 7919 % 5 AS y0, o_custkey % 9 + 10 + o_orderkey % 3 AS x1, o_orderkey * 7919 % 5 + 20 AS y1 FROM orders),
 e0 AS MATERIALIZED (SELECT a.tile, a.det_id AS src, b.det_id AS dst FROM det a JOIN det b ON a.tile = b.tile AND a.class_id = b.class_id AND (a.conf > b.conf OR (a.conf = b.conf AND a.det_id < b.det_id))
   AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1
