@@ -335,6 +335,34 @@ def test_suppression_against_a_plain_loop(spark):
     assert nms.suppress(boxes.limit(0), ["session_id", "class_id"]).count() == 0
 
 
+def test_half_pairs_against_sql(spark, tmp_path, monkeypatch):
+    """Repeated ids, sizes of several levels, flat and inverted boxes, nulls, cells cut into parts, in every kind of integer."""
+    rng = np.random.default_rng(4)
+    made = []
+    for i in range(700):
+        w, h = (int(v) for v in rng.choice([-40, 0, 9, 30, 250, 900], 2, p=[0.02, 0.02, 0.2, 0.4, 0.3, 0.06]) * rng.uniform(0.6, 1.4, 2))
+        x, y = (int(v) for v in rng.integers(-60, 60, 2))
+        made.append((i if i % 9 else i // 2, i % 2, int(rng.integers(0, 20)), x, y, x + w, y + h))
+    made += [(5, None, 1, 0, 0, 9, 9), (6, 1, 1, 0, 0, None, 9), *made[:40]]
+    sql = queries.ORACLES["iou_pairs"]
+    sql = "WITH det AS (SELECT *, 0 AS class_id FROM boxes) " + sql[sql.index("SELECT a.det_id") :]
+    for by in (1, 1 << 20):
+        boxes = spark.createDataFrame([(*r[:3], *(v if v is None else v * by for v in r[3:])) for r in made], "det_id long, session_id int, conf int, x0 long, y0 long, x1 long, y1 long")
+        boxes.write.parquet(str(tmp_path / f"{by}"))
+        want = rows(duckdb.sql(sql.replace("FROM boxes", f"FROM '{tmp_path}/{by}/*.parquet'")).to_arrow_table())
+        assert len(want) > 500
+        for block in (1 << 16, 50):
+            assert rows(nms.over_half_pairs(boxes, ["session_id"], 16 * by, block).toArrow()) == want
+        monkeypatch.setattr(nms, "TILE_PAIRS", 100)
+        monkeypatch.setattr(nms, "PAIR_ROWS", 100)
+
+
+def test_pairs_are_not_dealt_out(spark):
+    """Nothing is shuffled or joined after the pairs are found: they grow with the square of the boxes."""
+    plan = queries.QUERIES["iou_pairs"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan.split("FlatMapGroupsInArrow")[0]
+
+
 def test_engine_on_a_raster(spark, tmp_path):
     """Registered, run by a model over windows, mapped, stored and read back as documents; the log has each step."""
     from tilequilt.operators import inference as I

@@ -135,11 +135,7 @@ def wkt_polygons(spark, sf_dir):
   AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1
   WHERE 2 * w * h > (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - w * h""".replace("AS w,", "AS w,"))
 def iou_pairs(spark, sf_dir):
-    b = boxes(spark, sf_dir)
-    pairs = nms.conflicts(b, ["session_id", "class_id"], 128, nms.over_half)
-    a, c = (b.select(F.col("det_id").alias(k), *(F.col(v).alias(f"{k}_{v}") for v in ("x0", "y0", "x1", "y1"))) for k in ("src", "dst"))
-    out = pairs.join(a, "src").join(c, "dst")
-    return out.select(F.col("src").alias("a_id"), F.col("dst").alias("b_id"), (F.least("src_x1", "dst_x1") - F.greatest("src_x0", "dst_x0")).alias("w"), (F.least("src_y1", "dst_y1") - F.greatest("src_y0", "dst_y0")).alias("h"))
+    return nms.over_half_pairs(boxes(spark, sf_dir), ["session_id", "class_id"])
 
 
 _EDGES = """e AS (SELECT a.det_id AS src, b.det_id AS dst FROM det a JOIN det b ON a.session_id = b.session_id AND a.class_id = b.class_id
