@@ -24,7 +24,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of similar ones: five-word shingles, Jaccard 0.8 or more, exact (operator 5's radius would miss most)."""
+    """One document of each class of similar ones: SimHash over five-word shingles, verified (Jaccard 0.8 or more), and an exact join for what its radius misses."""
     return neardup.drop_similar(docs)
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import zlib
 
@@ -287,6 +288,31 @@ def test_near_documents(spark, docs, texts, monkeypatch):
     assert sorted(r.doc_id for r in corpus_pipeline.simhash_dedup(spark, df, SF).collect()) == sorted(set(want.values()))
 
 
+def test_near_documents_meet_by_simhash(spark, docs, texts, monkeypatch):
+    """The stage links by SimHash first: fingerprints of the shingles within 3 bits, only on similar sets; no join table stays."""
+    seen, links = [], neardup.simhash_links
+    monkeypatch.setattr(neardup, "simhash_links", lambda nodes, rows: seen.append((nodes.select("node", "fp").collect(), links(nodes, rows))) or seen[0][1])
+    rng = np.random.default_rng(8)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 900)]
+    rows = [(10**6 + i, " ".join([*base[:899], f"x{i}"])) for i in range(30)]
+    sets = {i: shingle_set(t) for i, t in [*texts.items(), *rows]}
+    monkeypatch.setattr(neardup, "staged", lambda df, keep=neardup.staged: made.append(keep(df)) or made[-1])
+    made: list = []
+    kept = neardup.drop_similar(docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert kept.where("doc_id >= 1000000").count() == 1
+    prints, nodes = {r.node: r.fp % (1 << 64) for r in seen[0][0]}, {}
+    for s in sets.values():
+        hashes = sorted(xxhash.xxh64_intdigest(x, 42) for x in s)
+        signed = np.sort(np.array(hashes, np.uint64).view(np.int64))
+        node = int(np.uint64(xxhash.xxh64_intdigest(signed.tobytes(), 42)).view(np.int64))
+        nodes[node] = s
+        assert prints[node] == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    near = [(r.u, r.v) for r in seen[0][1].collect()]
+    assert len(near) >= 25 and all(similar(nodes[u], nodes[v]) for u, v in near)
+    wide = [t for t in made if {"prefix", "shingle", "shingles"} & set(t.columns)]
+    assert wide and not any(os.path.exists(t.staged_path.removeprefix("file:")) for t in wide)
+
+
 def test_components_chain(spark):
     got = components.components(spark.createDataFrame([(i, i + 1) for i in range(100)] + [(7, 7), (None, 3)], "u long, v long")).collect()
     assert {r.component for r in got} == {0} and len(got) == 101

@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import shared_dir, staged
+from ..staging import shared_dir, staged, unstage
 
-__all__ = ["chunks", "columns", "hot_join", "in_arrow", "shared_dir", "staged", "text_bytes"]
+__all__ = ["chunks", "columns", "hot_join", "in_arrow", "shared_dir", "staged", "text_bytes", "unstage"]
 
 #: UTF-8 bytes of text that one vectorised step works on; a longer single text is a step of its own.
 CHUNK_BYTES = 1 << 19

@@ -1,12 +1,14 @@
-"""Near-duplicate documents by an exact set-similarity join: five-word shingles, Jaccard similarity of 0.8 or more.
+"""Near-duplicate documents by SimHash, verified and made whole: five-word shingles, Jaccard similarity of 0.8 or more.
 
-A SimHash radius can't do this whole: at a similarity of 0.8 two 64-bit fingerprints lie about 10 bits apart, with a
-spread of 3, and pigeonhole keys for 16 bits and more would be tens of thousands a document. The join is by prefixes:
+SimHash comes first: nodes whose fingerprints (over their five-word shingles) operator 5's pivot tables link are
+verified on their sets, and the classes they make are not looked into again. No SimHash radius can do this whole: at a
+similarity of 0.8 two 64-bit fingerprints lie about 10 bits apart, with a spread of 3, and pigeonhole keys for 16 bits
+and more would be tens of thousands a document. An exact join by prefixes finds the links between what is left apart:
 with the shingles of all documents in one order, two sets of similarity 0.8 share one of the first n - ceil(0.8 n) + 1
 of each. That holds for every order; here common shingles (found on a sample, which only sets the order) come last.
 
-Documents with the same set are one node. Stars first: in each bucket (nodes with a prefix shingle in common) each node
-is compared with one other, so that dense groups become one class; then all pairs of a bucket that are still in
+Documents with the same set are one node. Of the join, stars come first: in each bucket (nodes with a prefix shingle in
+common) each node is compared with one other, so that dense groups become one class; then all pairs of a bucket that are still in
 different classes are compared. Pairs whose bitmaps rule the similarity out are discarded (a bit set in one and not in
 the other is a shingle the other lacks), the rest are verified on the whole sets.
 """
@@ -21,9 +23,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, columns, in_arrow, staged, text_bytes
+from .common import chunks, columns, hot_join, in_arrow, staged, text_bytes, unstage
 from .components import components
-from .simhash import _LOWER, keep_one, named_classes
+from .simhash import _LOWER, keep_one, majority, named_classes, star_links
 
 SHINGLE = 5
 #: Least Jaccard similarity, as a fraction.
@@ -50,6 +52,11 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :].tolist(), strict=True)], np.uint64).view(np.int64))
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """64-bit SimHash of distinct shingles; 0 without any."""
+    return majority(found.astype(">i8").tobytes())
+
+
 def prefix(found: np.ndarray, common: np.ndarray) -> np.ndarray:
     """The first n - ceil(0.8 n) + 1 of n sorted shingles, those in common (sorted) last."""
     if not len(found):
@@ -88,7 +95,9 @@ def _marks(common: np.ndarray):
                 found = [shingles(t) for t in texts]
                 nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in found], np.uint64).view(np.int64)
                 ids, hashes = (batch.column(c).slice(begin, len(texts)) for c in ("doc_id", "text_hash"))
-                yield pa.record_batch([ids, hashes, pa.array(nodes), pa.array([len(x) for x in found], pa.int32()), _lists([prefix(x, common) for x in found]), _lists([bitmap(x) for x in found])], names=["doc_id", "text_hash", "node", "n", "prefix", "bits"])
+                prints = np.fromiter(map(fingerprint, found), np.uint64, len(found)).view(np.int64)
+                arrays = [ids, hashes, pa.array(nodes), pa.array([len(x) for x in found], pa.int32()), pa.array(prints), _lists([prefix(x, common) for x in found]), _lists([bitmap(x) for x in found])]
+                yield pa.record_batch(arrays, names=["doc_id", "text_hash", "node", "n", "fp", "prefix", "bits"])
 
     return marks
 
@@ -135,38 +144,67 @@ def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """Those of staged pairs (u, v: nodes) whose sets have a Jaccard similarity of at least SIMILARITY; staged."""
-    wanted = staged(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "least_hash"), "node"))
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+    kept = staged(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "least_hash"), "node"))
+    wanted = F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
     texts = rows.select("text_hash", "text").join(wanted.select(F.col("least_hash").alias("text_hash")).distinct(), "text_hash", "left_semi")
     sets = in_arrow(texts, _sets, "text_hash long, shingles array<long>").join(wanted, F.col("text_hash") == F.col("least_hash"))
     sets = staged(sets.groupBy("node").agg(F.first("shingles").alias("shingles")))
     both = pairs.join(sets.toDF("u", "us"), "u").join(sets.toDF("v", "vs"), "v")
     p, q = SIMILARITY
-    return staged(both.where(F.size(F.array_intersect("us", "vs")) * (p + q) >= (F.size("us") + F.size("vs")) * p).select("u", "v"))
+    found = staged(both.where(F.size(F.array_intersect("us", "vs")) * (p + q) >= (F.size("us") + F.size("vs")) * p).select("u", "v"))
+    unstage(kept, sets, pairs)
+    return found
+
+
+def simhash_links(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links (u, v) of SIMILARITY and more between nodes whose fingerprints simhash.star_links links, or are equal; staged.
+
+    A node is compared with the least one of its fingerprint, and that with those of the fingerprints linked to it.
+    """
+    hub = F.struct("node", "n", F.lit(0).alias("pos"))
+    heads = staged(nodes.groupBy("fp").agg(F.min(hub).alias("b"), F.count("*").alias("times")))
+    same = hot_join(nodes.select("fp", "node", "n"), heads, ["fp"], ["node"]).where("node <> b.node").select(hub.alias("a"), "b")
+    far = star_links(heads.select("fp")).join(heads.select(F.col("fp").alias("u"), F.col("b").alias("a")), "u").join(heads.select(F.col("fp").alias("v"), "b"), "v").select("a", "b")
+    pairs = same.unionByName(far).where(_hopeful("a", "b")).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v"))
+    pairs = possible(pairs, nodes)
+    unstage(heads)
+    return verified(pairs, nodes, rows)
+
+
+def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """Distinct pairs (u, v) that staged links leave in different classes."""
+    label = components(links)
+    if links.count() <= BROADCAST_ROWS:
+        label = F.broadcast(label)
+    both = pairs.distinct().join(label.toDF("u", "uc"), "u", "left").join(label.toDF("v", "vc"), "v", "left")
+    return both.where(F.coalesce("uc", "u") != F.coalesce("vc", "v")).select("u", "v")
 
 
 def similar_links(nodes: DataFrame, rows: DataFrame) -> DataFrame:
-    """Links (u, v) between nodes (node, least_hash, n, prefix) with the same classes as all pairs of SIMILARITY and more."""
+    """Links (u, v) between nodes (node, least_hash, n, fp, prefix, bits) with the same classes as all pairs of SIMILARITY and more."""
+    near = simhash_links(nodes, rows)
     keyed = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "shingle"))
     shared = staged(keyed.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1").select("shingle"))
     met = staged(keyed.join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared, "shingle"))
+    unstage(shared)
     hub = F.struct("node", "n", "pos")
     hubs = met.groupBy("shingle").agg(F.min_by(hub, F.xxhash64("node", "shingle")).alias("b"))
     stars = met.withColumn("a", hub).join(hubs, "shingle").where("a.node <> b.node").where(_hopeful("a", "b"))
-    stars = possible(stars.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")), nodes)
+    hopeful = possible(_apart(stars.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")), near), nodes)
     # Two stars a node are enough to make dense groups one class; the rest is left to the pairs between classes.
-    stars = stars.groupBy("u").agg(F.array_distinct(F.array(F.min("v"), F.max("v"))).alias("vs")).select("u", F.explode("vs").alias("v"))
+    stars = hopeful.groupBy("u").agg(F.array_distinct(F.array(F.min("v"), F.max("v"))).alias("vs")).select("u", F.explode("vs").alias("v"))
     stars = verified(staged(stars), nodes, rows)
-    label = components(stars)
+    unstage(hopeful)
+    label = components(near.unionByName(stars))
     classed = met.join(label, "node", "left").withColumn("class", F.coalesce("component", "node"))
     mixed = classed.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("shingle")
     left = staged(classed.join(mixed, "shingle").select("shingle", "class", hub.alias("a")))
+    unstage(met)
     other = left.select("shingle", F.col("class").alias("other"), F.col("a").alias("b"))
     pairs = left.join(other, "shingle").where(F.col("class") < F.col("other")).where(_hopeful("a", "b"))
     rest = possible(pairs.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")), nodes)
-    rest = verified(rest, nodes, rows)
-    return stars.unionByName(rest)
+    unstage(left)
+    return near.unionByName(stars).unionByName(verified(rest, nodes, rows))
 
 
 def similar_classes(docs: DataFrame) -> DataFrame:
@@ -176,9 +214,13 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     """
     rows = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
     common = common_shingles(rows)
-    marks = staged(in_arrow(rows, _marks(common), "doc_id long, text_hash long, node long, n int, prefix array<long>, bits array<long>"))
-    nodes = staged(marks.groupBy("node").agg(F.min("text_hash").alias("least_hash"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")))
-    return named_classes(marks.select("doc_id", "text_hash", "node"), "node", lambda reps: similar_links(nodes, rows))
+    wide = staged(in_arrow(rows, _marks(common), "doc_id long, text_hash long, node long, n int, fp long, prefix array<long>, bits array<long>"))
+    nodes = staged(wide.groupBy("node").agg(F.min("text_hash").alias("least_hash"), *(F.first(c).alias(c) for c in ("n", "fp", "prefix", "bits"))))
+    marks = staged(wide.select("doc_id", "text_hash", "node"))
+    unstage(wide)
+    classes = named_classes(marks, "node", lambda reps: similar_links(nodes, rows))
+    unstage(nodes)  # the links found by them are staged, and so are their classes
+    return classes
 
 
 def drop_similar(docs: DataFrame) -> DataFrame:

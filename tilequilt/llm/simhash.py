@@ -40,6 +40,14 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(b"pivot %d" % i) for i in range(n)], dtype=np.uint64)
 
 
+def majority(hashes: bytes) -> int:
+    """The 64-bit word whose bits are set in over half of the hashes, of eight bytes each, highest first."""
+    bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
+    whole = len(bits) // 255 * 255  # so many ones fit a byte
+    votes = np.add.reduce(bits[:whole].reshape(-1, 255, 64), axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64) + bits[whole:].sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(votes * 2 > len(bits)).tobytes(), "big")
+
+
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     """64-bit SimHash of UTF-8 text: A-Z lower-cased, ASCII-space words, shingles with repeats, bit set if in over half."""
     words = text.translate(_LOWER).split()
@@ -53,11 +61,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     starts = (ends - size)[: len(words) - shingle + 1].tolist()
     stops = ends[shingle - 1 :].tolist()
     digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)])
-    bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
-    whole = len(bits) // 255 * 255  # so many ones fit a byte
-    votes = np.add.reduce(bits[:whole].reshape(-1, 255, 64), axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64) + bits[whole:].sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(votes * 2 > len(bits)).tobytes(), "big")
+    return majority(b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)]))
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
